@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chats, fingerprint, langid, licenses, mixing, secrets, simhash, urls
+from . import bpe, chats, fingerprint, langid, licenses, mixing, secrets, simhash, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = [k for k, *_ in secrets.KINDS]
@@ -101,6 +105,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_topk": op2_topk,
     "op3_secrets": op3_secrets,
     "op4_licenses": op4_licenses,
     "op5_fingerprints": op5_fingerprints,
@@ -113,6 +118,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The same results in DuckDB's SQL, where it can express them.
 ORACLE_SQL: dict[str, str] = {
+    "op2_topk": r"""
+        with valid as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+        scored as (
+            select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+            from valid q join valid c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0),
+        ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+        select query_id, rank, vec_id, score from ranked where rank <= 5""",
     "op7_mixing": r"""
         with sized as (
             select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
