@@ -200,9 +200,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component, one row for each such id; null ids are kept where no id is linked."""
-    found = near_duplicates(docs, id_col, text_col, shingle)
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is the least of its component in ``found`` (doc_id, component_id).
+
+    One row is kept for each such id; a row with a null id is kept where its
+    component has no id.
+    """
     kept = cut(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
     repeated = kept.where("n > 1").limit(1).count() > 0
     out = docs.join(kept.select(F.col("doc_id").alias("_kept")).hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
