@@ -50,10 +50,16 @@ def interleaved(lon: Column, lat: Column, bits: int = 26) -> Column:
 
 
 def geohash(lon: Column, lat: Column) -> Column:
-    """Base-32 text of the 64 bits of the cell: 13 digits, the last with a zero bit at its end."""
+    """Base-32 text of the 64 bits of the cell, kept as a double: 13 digits, the last with a zero bit at its end."""
     x, y = (F.lpad(F.conv(c.cast("string"), 10, 2), 32, "0") for c in (lon_cell(lon), lat_cell(lat)))
-    bits = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.concat(F.substring(x, i, F.lit(1)), F.substring(y, i, F.lit(1)))), ""), F.lit("0"))
-    digit = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.substring(F.lit(DIGITS), F.conv(F.substring(bits, k * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
+    bits = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.concat(F.substring(x, i, F.lit(1)), F.substring(y, i, F.lit(1)))), "")
+    high, low = (F.conv(F.substring(bits, F.lit(at), F.lit(32)), 2, 10).cast("double") for at in (1, 33))
+    half = float(1 << 32)
+    score = F.least(high * half + low, F.lit(float((1 << 64) - (1 << 11))))
+    high = F.floor(score / half)
+    low = (score - high.cast("double") * half).cast("long")
+    kept = F.concat(*[F.lpad(F.conv(c.cast("string"), 10, 2), 32, "0") for c in (high, low)], F.lit("0"))
+    digit = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.substring(F.lit(DIGITS), F.conv(F.substring(kept, k * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
     return F.array_join(digit, "")
 
 

@@ -85,24 +85,30 @@ def ranked(table: DataFrame, reverse: bool = False) -> DataFrame:
     return table.withColumn("rank", (F.row_number().over(_down() if reverse else _up()) - 1).cast("long"))
 
 
+def _first(table: DataFrame, n: int, reverse: bool = False) -> DataFrame:
+    """The first n members of each key with ``rank``; tasks keep n rows of a key before the shuffle."""
+    rows = table.withColumn("_at", F.row_number().over(_down() if reverse else _up())).where(F.col("_at") <= n)
+    return rows.withColumn("rank", (F.col("_at") - 1).cast("long")).drop("_at")
+
+
 def zrange(table: DataFrame, start: int, stop: int, reverse: bool = False) -> DataFrame:
     """Members of ranks start..stop of each key (inclusive, negative from the end).
 
     Ranges that start at the head and end by a positive rank read only that
     many rows of each key (a group limit under the window).
     """
-    rows = ranked(table, reverse)
     if start >= 0 and stop >= 0:
-        return rows.where((F.col("rank") <= stop) & (F.col("rank") >= start))
+        return _first(table, stop + 1, reverse).where(F.col("rank") >= start)
+    rows = ranked(table, reverse)
     first, size = clamp_range(F.col("_n"), start, stop)
     return rows.withColumn("_n", F.count("*").over(_by())).where((F.col("rank") >= first) & (F.col("rank") < first + size)).drop("_n")
 
 
 def _limited(rows: DataFrame, reverse: bool, offset: int, limit: int) -> DataFrame:
-    rows = ranked(rows, reverse)
     if offset < 0:
-        return rows.limit(0)
-    return rows.where(F.col("rank") >= offset) if limit < 0 else rows.where((F.col("rank") < offset + limit) & (F.col("rank") >= offset))
+        return ranked(rows, reverse).limit(0)
+    rows = ranked(rows, reverse) if limit < 0 else _first(rows, offset + limit, reverse)
+    return rows.where(F.col("rank") >= offset)
 
 
 def zrangebyscore(table: DataFrame, low: str, high: str, reverse: bool = False, offset: int = 0, limit: int = -1) -> DataFrame:
@@ -116,8 +122,7 @@ def zrangebylex(table: DataFrame, low: str, high: str, reverse: bool = False, of
 
 def zpop(table: DataFrame, count: int = 1, largest: bool = False) -> tuple[DataFrame, DataFrame]:
     """What is popped from each key, and what is left (ZPOPMIN, ZPOPMAX)."""
-    rows = ranked(table, largest)
-    return rows.where(F.col("rank") < count), rows.where(F.col("rank") >= count).drop("rank")
+    return _first(table, count, largest), ranked(table, largest).where(F.col("rank") >= count).drop("rank")
 
 
 def zmpop(table: DataFrame, keys: list[str], count: int = 1, largest: bool = False) -> DataFrame:

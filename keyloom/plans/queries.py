@@ -228,7 +228,12 @@ _add("geoadd_cell", lambda s, d: geo.geoadd(src.places(s, d)).select("key", "mem
     select key, member, list_sum(list_transform(range(26), lambda i: (((x >> (25 - i)) & 1) * 2 + ((y >> (25 - i)) & 1)) << (2 * (25 - i))))::bigint as cell from c""")
 _add("geohash", lambda s, d: geo.geohash(src.places(s, d)), f"""
     with c as (select key, member, least(floor((lon + 180) / 360 * 4294967296), 4294967295)::bigint as x, least(floor((lat + 90) / 180 * 4294967296), 4294967295)::bigint as y from {_P}),
-    b as (select key, member, list_concat(flatten(list_transform(range(32), lambda i: [(x >> (31 - i)) & 1, (y >> (31 - i)) & 1])), [0]) as v from c)
+    e as (select key, member,
+        list_sum(list_transform(range(16), lambda i: (((x >> (31 - i)) & 1) * 2 + ((y >> (31 - i)) & 1)) << (2 * (15 - i))))::double * 4294967296.0::double
+        + list_sum(list_transform(range(16), lambda i: (((x >> (15 - i)) & 1) * 2 + ((y >> (15 - i)) & 1)) << (2 * (15 - i))))::double as score from c),
+    h as (select key, member, floor(score / 4294967296.0::double)::bigint as hi, score from e),
+    g as (select key, member, hi, (score - hi::double * 4294967296.0::double)::bigint as lo from h),
+    b as (select key, member, list_concat(list_transform(range(32), lambda i: (hi >> (31 - i)) & 1), list_transform(range(32), lambda i: (lo >> (31 - i)) & 1), [0]) as v from g)
     select key, member, array_to_string(list_transform(range(13), lambda k: substr('{gf.DIGITS}', (v[5 * k + 1] * 16 + v[5 * k + 2] * 8 + v[5 * k + 3] * 4 + v[5 * k + 4] * 2 + v[5 * k + 5] + 1)::bigint, 1)), '') as hash from b""")
 _add("geopos", lambda s, d: geo.geopos(src.places(s, d)).select("key", "member", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")), f"select key, member, round((least(floor((lon + 180) / 360 * 4294967296), 4294967295) + 0.5) * (360 / 4294967296.0::double) - 180, 6) as lon, round((least(floor((lat + 90) / 180 * 4294967296), 4294967295) + 0.5) * (180 / 4294967296.0::double) - 90, 6) as lat from {_P}")
 _add("geodist", lambda s, d: geo.geodist(src.places(s, d).withColumn("member", (F.col("member").cast("long") % 50).cast("string")).groupBy("key", "member").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat")), "1", "2", "km").select("key", F.round("distance", 4).alias("distance")), f"""

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -35,26 +35,24 @@ def run_available(out: DataFrame, mode: str = "append") -> DataFrame:
     return spark.table(name)
 
 
-def tumble(events: DataFrame, ts: str, width: str, late: str, by: list[str], *aggregates: Any) -> DataFrame:
+def _windowed(events: DataFrame, ts: str, window: Column, late: str, by: list[str], aggregates: tuple, ends: tuple[str, ...] = ("start",)) -> DataFrame:
+    out = events.withWatermark(ts, late).groupBy(window.alias("_w"), *by).agg(*aggregates)
+    return out.select(*[F.col(f"_w.{e}").alias(e) for e in ends], *[c for c in out.columns if c != "_w"])
+
+
+def tumble(events: DataFrame, ts: str, width: str, late: str, by: list[str], *aggregates: Column) -> DataFrame:
     """Aggregates of fixed windows; events later than the watermark are left out."""
-    w = F.window(F.col(ts), width)
-    return events.withWatermark(ts, late).groupBy(w.alias("w"), *by).agg(*aggregates).select(F.col("w.start").alias("start"), *by, *[c for c in _names(aggregates)])
+    return _windowed(events, ts, F.window(F.col(ts), width), late, by, aggregates)
 
 
-def slide(events: DataFrame, ts: str, width: str, step: str, late: str, by: list[str], *aggregates: Any) -> DataFrame:
+def slide(events: DataFrame, ts: str, width: str, step: str, late: str, by: list[str], *aggregates: Column) -> DataFrame:
     """As ``tumble`` with windows that begin at every step."""
-    w = F.window(F.col(ts), width, step)
-    return events.withWatermark(ts, late).groupBy(w.alias("w"), *by).agg(*aggregates).select(F.col("w.start").alias("start"), *by, *[c for c in _names(aggregates)])
+    return _windowed(events, ts, F.window(F.col(ts), width, step), late, by, aggregates)
 
 
-def sessions(events: DataFrame, ts: str, gap: str, late: str, by: list[str], *aggregates: Any) -> DataFrame:
+def sessions(events: DataFrame, ts: str, gap: str, late: str, by: list[str], *aggregates: Column) -> DataFrame:
     """Aggregates of sessions that end after a gap."""
-    w = F.session_window(F.col(ts), gap)
-    return events.withWatermark(ts, late).groupBy(w.alias("w"), *by).agg(*aggregates).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, *[c for c in _names(aggregates)])
-
-
-def _names(aggregates: tuple) -> list[str]:
-    return [a._jc.named().name() if hasattr(a, "_jc") else str(a) for a in aggregates]
+    return _windowed(events, ts, F.session_window(F.col(ts), gap), late, by, aggregates, ("start", "end"))
 
 
 def subscribe(messages: DataFrame, channels: list[str]) -> DataFrame:
