@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_rows
@@ -161,15 +161,17 @@ def _verified(rows: DataFrame) -> DataFrame:
     return map_rows(rows, run, "u long, v long", _EDGE)
 
 
+def _keys(group: int, bits: list[int], threshold: int) -> Column:
+    """Array of a group's keys of a fingerprint: its bits, and with threshold 1 also each of them flipped."""
+    own = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
+    flips = [own.bitwiseXOR(F.lit(_mask([b]))) for b in bits] if threshold else []
+    return F.array(*[F.struct(F.lit(group).alias("g"), k.alias("key")) for k in (own, *flips)])
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links (u, v) between different fingerprints (column ``fp``, distinct) that join all those within TAU bits."""
     n, both = _together(fps)
-    keys = []
-    for g, (bits, t) in enumerate(plan(n, both)):
-        own = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
-        keys.append(F.array(F.struct(F.lit(g).alias("g"), own.alias("key"))))
-        if t:
-            keys.append(F.transform(F.array(*[F.lit(_mask([b])) for b in bits]), lambda x, own=own, g=g: F.struct(F.lit(g).alias("g"), own.bitwiseXOR(x).alias("key"))))
+    keys = [_keys(g, bits, t) for g, (bits, t) in enumerate(plan(n, both))]
     if not keys:
         return fps.sparkSession.createDataFrame([], "u long, v long")
     probes = fps.select("fp", F.explode(F.concat(*keys)).alias("x")).select("x.g", "x.key", "fp")
