@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chats, fingerprint, langid, licenses, mixing, secrets, simhash, topk, urls
@@ -29,13 +29,17 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def _of_rank(spans: str, rank: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = [k for k, *_ in secrets.KINDS]
     base = F.filter("secrets", lambda s: s["rank"] < len(kinds))
     return found.withColumn("base", base).select(
         "doc_id",
-        *[F.size(F.filter("base", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(kinds)],
+        *[_of_rank("base", i).alias(f"n_{k}") for i, k in enumerate(kinds)],
         F.sha2(secrets.listed(F.col("base"), kinds).cast("binary"), 256).alias("base_sha256"),
         secrets.listed(F.col("secrets"), [*kinds, secrets.RANDOM]).alias("spans"),
     )

@@ -25,6 +25,8 @@ KINDS = [
 ]
 #: Runs that the battery tests, and the kind of the spans it adds.
 RUN, RANDOM = r"[A-Za-z0-9+/_-]{20,}", "random"
+#: Runs with a larger share of these signs are words or numbers that they join, as paths and identifiers.
+JOINTS, JOINT_SHARE = r"[/_-]", 0.08
 #: Encodings in order of inference: pattern, alphabet.
 ENCODINGS = [
     (r"^[0-9a-f]+$", "0123456789abcdef"),
@@ -125,7 +127,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for rank, (kind, pattern, group, least) in enumerate(KINDS):
         df = _with_spans(df, "_text", f"_{kind}", pattern, rank, (lambda v, p=pattern, g=group, n=least: F.length(F.regexp_extract(v, p, g)) >= n) if group else (lambda v: F.lit(True)))
     df = df.withColumn("_base", F.concat(*[f"_{k}" for k, *_ in KINDS])).drop(*[f"_{k}" for k, *_ in KINDS])
-    df = _with_spans(df, "_text", "_runs", RUN, len(KINDS), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
+    df = _with_spans(df, "_text", "_runs", RUN, len(KINDS), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.regexp_count(v, F.lit(JOINTS)) <= F.length(v) * JOINT_SHARE))
     free = F.filter("_runs", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     df = df.withColumn("_free", free)
     df = df.withColumn("_tested", F.when(F.size("_free") > 0, F.transform("_free", lambda r: F.struct(r.alias("span"), _tested(r["value"]).alias("test")))))
