@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, ship
 
 #: Words whose tokens are kept per worker; then the store starts anew.
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 #: Longer words are not kept.
 WORD_CHARS = 60
 #: Texts without these characters need no normalizer but lower-casing, and PLAIN cuts them as the vocabulary's own pattern does.
@@ -149,7 +149,7 @@ class Bpe:
 
     def _fits(self, a: int, b: int) -> bool:
         if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 4 * WORD_CACHE:
+            if len(self.pairs) >= WORD_CACHE:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.compatible(a, b)
         return known

@@ -122,8 +122,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
+            for at in range(0, b.num_rows, 16):
+                part = b.slice(at, 16)
                 found = known.value.score(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*names, "lang_pred", "lang_score"])
 
