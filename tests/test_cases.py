@@ -269,7 +269,7 @@ def test_access(spark):
 
 
 def test_live_queue_and_deadlines(spark, tmp_path):
-    spark.createDataFrame([("q", 1, "pop", "me"), ("q", 2, "push", "x"), ("q", 3, "push", "y"), ("q", 4, "pop", "you")], "key string, n long, kind string, value string").write.parquet(str(tmp_path / "q.parquet"))
+    spark.createDataFrame([("q", 1, "pop", "me"), ("q", 2, "push", "x"), ("q", 3, "push", "y"), ("q", 4, "pop", "you")], "key string, n long, kind string, value string").coalesce(1).write.parquet(str(tmp_path / "q.parquet"))
     got = live.run_available(live.queue(live.read(spark, str(tmp_path / "q.parquet"))))
     assert sorted(col(got, "who", "value")) == [("me", "x"), ("you", "y")]
     spark.sql("select 'k' as key, 'v' as value, timestamp '2024-01-01 00:00:00' as ts").coalesce(1).write.parquet(str(tmp_path / "w.parquet"))
@@ -281,3 +281,10 @@ def test_live_windows(spark, data):
     e = live.read(spark, f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     got = live.run_available(live.tumble(e, "ts", "1 day", "1 hour", ["event_type"], F.count("*").alias("n")), "complete")
     assert sum(r["n"] for r in got.collect()) == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_catalogue(spark):
+    from keyloom.plans.commands import catalogue
+
+    got = catalogue(spark)
+    assert got.where("family = 'zsets' and name = 'zrange'").count() == 1 and got.count() > 200
