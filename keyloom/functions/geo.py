@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,16 +53,33 @@ def interleaved(lon: Column, lat: Column, bits: int = 26) -> Column:
 
 def geohash(lon: Column, lat: Column) -> Column:
     """Base-32 text of the 64 bits of the cell, kept as a double: 13 digits, the last with a zero bit at its end."""
-    x, y = (F.lpad(F.conv(c.cast("string"), 10, 2), 32, "0") for c in (lon_cell(lon), lat_cell(lat)))
-    bits = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.concat(F.substring(x, i, F.lit(1)), F.substring(y, i, F.lit(1)))), "")
-    high, low = (F.conv(F.substring(bits, F.lit(at), F.lit(32)), 2, 10).cast("double") for at in (1, 33))
     half = float(1 << 32)
-    score = F.least(high * half + low, F.lit(float((1 << 64) - (1 << 11))))
-    high = F.floor(score / half)
-    low = (score - high.cast("double") * half).cast("long")
-    kept = F.concat(*[F.lpad(F.conv(c.cast("string"), 10, 2), 32, "0") for c in (high, low)], F.lit("0"))
-    digit = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.substring(F.lit(DIGITS), F.conv(F.substring(kept, k * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.array_join(digit, "")
+
+    def binary(cell: Column) -> Column:
+        return F.lpad(F.conv(cell.cast("string"), 10, 2), 32, "0")
+
+    def number(bits: Column, at: int) -> Column:
+        return F.conv(F.substring(bits, F.lit(at), F.lit(32)), 2, 10).cast("double")
+
+    def mixed(xy: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.concat(F.substring(xy["x"], i, F.lit(1)), F.substring(xy["y"], i, F.lit(1)))), "")
+
+    def halves(score: Column) -> Column:
+        high = F.floor(score / half)
+        return F.concat(binary(high), binary((score - high.cast("double") * half).cast("long")), F.lit("0"))
+
+    def digits(bits: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.substring(F.lit(DIGITS), F.conv(F.substring(bits, k * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
+        return F.array_join(each, "")
+
+    cells = F.struct(binary(lon_cell(lon)).alias("x"), binary(lat_cell(lat)).alias("y"))
+    score = _once(_once(cells, mixed), lambda bits: F.least(number(bits, 1) * half + number(bits, 33), F.lit(float((1 << 64) - (1 << 11)))))
+    return _once(_once(score, halves), digits)
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.transform(F.array(value), lambda x: f(x))[0]
 
 
 def near_box(lon: Column, lat: Column, at_lon: float, at_lat: float, metres: float) -> Column:
