@@ -343,6 +343,50 @@ def test_near_copies(spark, odd, none):
     assert similar.near_copies(none).count() == 0
 
 
+def test_near_copies_among_texts_with_a_common_passage(spark):
+    """Each text has one edited copy, and shares two thirds of its words with all the others."""
+    rnd = random.Random(18)
+    word = lambda: f"{rnd.choice('abcdefgh')}{rnd.randrange(10**6)}"
+    passage = [word() for _ in range(120)]
+    rows = []
+    for g in range(2000):
+        own = [word() for _ in range(60)]
+        edited = list(own)
+        for at in rnd.sample(range(60), 3):
+            edited[at] = word()
+        rows += [(2 * g, " ".join(passage + own)), (2 * g + 1, " ".join(passage + edited))]
+    sets = {i: set(fingerprint.shingles(t.encode()).tolist()) for i, t in rows}
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    close = [i for i in range(0, 4000, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(close) > 1000 and sum(got[i] == got[i + 1] for i in close) >= 0.95 * len(close)
+    assert sum(c // 2 != i // 2 for i, c in got.items()) <= 0.01 * len(rows)
+
+
+def test_all_rows_of_a_bucket_are_compared():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (40, similar.WORDS)).astype(np.uint64)
+    flip = np.zeros(similar.WORDS, np.uint64)
+    flip[-1] = np.uint64((1 << 60) - 1)
+    words = np.concatenate([base, base ^ flip, base[:1] ^ flip ^ np.roll(flip, 1)])
+    apart = np.bitwise_count(words[:, None] ^ words[None, :]).sum(axis=2)
+    want = np.where(apart <= similar.NEAR, np.arange(len(words)), len(words)).min(axis=1)
+    assert similar.alike(words).tolist() == [*range(40), *range(40), 0] and want[80] == 40
+    for size in (1, 2, 7, 60):
+        slot = np.repeat(np.arange(len(words) // size + 1), size)[: len(words)]
+        got = {(u, v) for u, v in zip(*similar.met(slot, np.arange(len(words)), words), strict=True)}
+        near = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if slot[i] == slot[j] and apart[i, j] <= similar.NEAR}
+        assert _joined(got) == _joined(near)
+
+
+def _joined(pairs):
+    up = {}
+    root = lambda x: x if up.get(x, x) == x else root(up[x])
+    for u, v in pairs:
+        a, b = sorted((root(int(u)), root(int(v))))
+        up[b] = a
+    return {x: root(x) for x in up if root(x) != x}
+
+
 # --- mixing --------------------------------------------------------------------
 
 
