@@ -146,6 +146,17 @@ _NUMBERED = f"(select *, row_number() over (partition by key order by pos) - 1 a
 _L = src.lists
 _add("rpush", lambda s, d: lists.push(_L(s, d), s.range(2).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("seq"), (F.col("id") + 9000).alias("value"))).where(F.col("key") <= 3), f"select key, pos, value from {_LIST} where key <= 3 union all select 1, coalesce((select max(pos) from {_LIST} where key = 1), -1) + i, 8999 + i from range(1, 3) r(i)")
 _add("lpush", lambda s, d: lists.indexed(lists.push(_L(s, d), s.range(2).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("seq"), (F.col("id") + 9000).alias("value")), left=True)).where(F.col("key") == 1).select("i", "value"), f"select 0 as i, 9001 as value union all select 1, 9000 union all select i + 2, value from {_NUMBERED} where key = 1")
+
+
+def _order_pushes(s: SparkSession, d: str) -> DataFrame:
+    """Two values for the list of each order."""
+    o = src.table(s, d, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey")
+    return o.select("key", F.posexplode(F.array("o_custkey", -F.col("o_custkey"))).alias("seq", "value"))
+
+
+_ENDS = f"(select o_orderkey as key, o_custkey as c, n, hi from orders left join (select key, count(*) as n, max(pos) as hi from {_LIST} group by 1) e on o_orderkey = e.key)"
+_add("rpush_all", lambda s, d: lists.push(_L(s, d), _order_pushes(s, d)), f"select key, pos, value from {_LIST} union all select key, coalesce(hi, -1) + 1, c from {_ENDS} union all select key, coalesce(hi, -1) + 2, -c from {_ENDS}")
+_add("lpush_all", lambda s, d: lists.indexed(lists.push(_L(s, d), _order_pushes(s, d), left=True)).select("key", "i", "n", "value"), f"select key, 0 as i, coalesce(n, 0) + 2 as n, -c as value from {_ENDS} union all select key, 1, coalesce(n, 0) + 2, c from {_ENDS} union all select l.key, i + 2, l.n + case when e.key is null then 0 else 2 end, value from {_NUMBERED} l left join {_ENDS} e on l.key = e.key")
 _add("llen", lambda s, d: lists.llen(_L(s, d)), "select l_orderkey as key, count(*) as n from lineitem group by 1")
 _add("lindex", lambda s, d: lists.lindex(_L(s, d), -2), f"select key, value from {_NUMBERED} where i = n - 2")
 _add("lrange", lambda s, d: lists.lrange(_L(s, d), 1, -2).select("key", "i", "value"), f"select key, i, value from {_NUMBERED} where i >= 1 and i <= n - 2")

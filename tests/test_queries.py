@@ -37,3 +37,10 @@ def test_top_of_each_key_is_limited_before_the_shuffle(spark, data):
 def test_filters_reach_the_scan(spark, data):
     plan = QUERIES["geo_search_radius"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id" in plan and "props" not in plan
+
+
+@pytest.mark.parametrize("name", ["rpush_all", "lpush_all"])
+def test_pushes_reach_every_list(spark, data, name):
+    orders = {r[0] for r in spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey").collect()}
+    listed = {r[0] for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey").collect()}
+    assert {r["key"] for r in QUERIES[name](spark, data).select("key").collect()} == orders | listed
