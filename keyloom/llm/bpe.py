@@ -78,6 +78,7 @@ class Bpe:
         self.normalizer, self.pre = tok.normalizer, tok.pre_tokenizer
         conf = json.loads(spec)
         model, self.special = conf["model"], {t["content"]: t["id"] for t in conf["added_tokens"]}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         steps = [n["type"] for n in (conf["normalizer"] or {}).get("normalizers", [])]
         cuts = (conf["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.plain = steps == NORMALIZERS and bool(cuts) and cuts[0].get("pattern") == {"Regex": PATTERN}
@@ -201,19 +202,15 @@ class Bpe:
 
     def encode(self, text: str) -> list[int]:
         """Ids of ``text``; strings of special tokens become those tokens."""
-        if not any(s in text for s in self.special):
+        if not self.marks or not any(s in text for s in self.special):
             return list(self._segment(text))
         ids: list[int] = []
-        at = 0
-        while True:
-            hits = [(p, -len(s), s) for s in self.special if (p := text.find(s, at)) >= 0]
-            if not hits:
-                ids.extend(self._segment(text[at:]))
-                return ids
-            p, _, s = min(hits)
-            ids.extend(self._segment(text[at:p]))
-            ids.append(self.special[s])
-            at = p + len(s)
+        for i, part in enumerate(self.marks.split(text)):
+            if i % 2:
+                ids.append(self.special[part])
+            elif part:
+                ids.extend(self._segment(part))
+        return ids
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token texts joined by one space, as for a vocabulary without a decoder."""
@@ -237,28 +234,42 @@ def _bpe(spec: str) -> Bpe:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Columns that ``encode`` can give: Spark's type, Arrow's type, and their value from ids and decoded text.
+OUTPUTS = {
+    "ids": ("array<int>", pa.list_(pa.int32()), lambda bpe, ids, text: ids),
+    "n_tokens": ("long", pa.int64(), lambda bpe, ids, text: len(ids)),
+    "decoded": ("string", pa.string(), lambda bpe, ids, text: text),
+    "ids_sha256": ("string", pa.string(), lambda bpe, ids, text: hashlib.sha256(b" ".join(map(bpe.decimal.__getitem__, ids))).hexdigest()),
+    "decoded_sha256": ("string", pa.string(), lambda bpe, ids, text: hashlib.sha256(text.encode()).hexdigest()),
+}
+
+
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = tuple(OUTPUTS)) -> DataFrame:
     """Encode and decode every text.
 
     ``vocabulary``: path of a tokenizers JSON file on the driver; its text is
     broadcast (a fixed file of a few MB). Returns one row per input row:
-    the id column, ``ids`` (array of int), ``n_tokens``, ``decoded`` (string),
-    ``ids_sha256`` and ``decoded_sha256``. A null text counts as empty: no
+    ``doc_id`` and the columns that ``outputs`` names, all of ``ids`` (array
+    of int), ``n_tokens``, ``decoded`` (string), ``ids_sha256`` and
+    ``decoded_sha256`` unless told otherwise. A null text counts as empty: no
     ids, empty decoded text. Repeated rows stay repeated; an empty table
-    gives an empty result. Other columns of the input are not read.
+    gives an empty result. Other columns of the input are not read. A text
+    with very many special tokens takes a time in proportion to its length.
     """
     spark = docs.sparkSession
     ship(spark)
     with open(vocabulary, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
+    decodes = bool({"decoded", "decoded_sha256"} & {*outputs})
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         bpe = _bpe(spec.value)
+        values = [OUTPUTS[k][2] for k in outputs]
         for key, text in it:
             ids = bpe.encode(text or "")
-            decoded = bpe.decode(ids)
-            yield key, ids, len(ids), decoded, hashlib.sha256(b" ".join(map(bpe.decimal.__getitem__, ids))).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+            decoded = bpe.decode(ids) if decodes else ""
+            yield key, *[f(bpe, ids, decoded) for f in values]
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    arrow = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("decoded", pa.string()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    return map_rows(kept, rows, "doc_id long, ids array<int>, n_tokens long, decoded string, ids_sha256 string, decoded_sha256 string", arrow)
+    arrow = pa.schema([("doc_id", pa.int64()), *[(k, OUTPUTS[k][1]) for k in outputs]])
+    return map_rows(kept, rows, ", ".join(["doc_id long", *[f"{k} {OUTPUTS[k][0]}" for k in outputs]]), arrow)

@@ -83,6 +83,26 @@ def events_of(conversations: DataFrame) -> DataFrame:
     return c.select("conv_id", number.alias("seq"), F.lit("message").alias("event"), number.alias("turn"), "role", "text")
 
 
+def log_of(conversations: DataFrame) -> DataFrame:
+    """An event log whose fold gives the rows (conv_id, turn, role, text) again, as a chat service would write it.
+
+    By turns, a message is streamed in two deltas, is corrected by an edit,
+    or is regenerated and then streamed on. Null texts stay null.
+    """
+    whole = events_of(conversations)
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("event"), text.alias("text"))
+    draft = F.concat(rest, F.lit(" ..."))
+    streamed = F.array(event("message", F.lit("")), event("delta", first), event("delta", rest))
+    edited = F.array(event("message", draft), event("edit", F.col("text")))
+    again = F.array(event("message", F.lit("")), event("delta", draft), event("regenerate", first), event("delta", rest))
+    kind = F.pmod(F.col("turn"), F.lit(3))
+    events = F.when(kind == 0, streamed).when(kind == 1, edited).otherwise(again)
+    log = whole.select("conv_id", "turn", "role", F.posexplode(events).alias("at", "e"))
+    return log.select("conv_id", (F.col("turn") * 8 + F.col("at")).alias("seq"), F.col("e.event").alias("event"), "turn", "role", F.col("e.text").alias("text"))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """Turns and loss of what ``render`` gave, from its string and spans alone.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -11,8 +12,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch; texts are long, so a batch stays at some megabytes.
-ARROW_ROWS = "512"
+#: Rows and bytes of one Arrow batch; a batch of long texts ends by its bytes.
+ARROW_ROWS, ARROW_BYTES = 10_000, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,14 +32,22 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(root.parent))
         sc.addPyFile(name)
         sc._keyloom_shipped = sc.applicationId
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a temporary one only where none is set (tests)."""
+    """The shared folder for checkpoints, that of ``spark.checkpoint.dir``.
+
+    Where none is set a temporary folder serves on a local master; a cluster
+    without one is an error, as executors don't see each other's folders.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyloom-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="keyloom-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -52,11 +61,14 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]],
     """Apply ``rows`` to the tuples of each partition, through Arrow batches.
 
     ``rows`` gets an iterator over the input rows and gives output rows one by
-    one, so that memory holds a batch and not a partition. Columns in
-    ``binary`` arrive as bytes (strings as their UTF-8).
+    one, so that memory holds a batch and not a partition; batches end by rows
+    or bytes on both sides. Columns in ``binary`` arrive as bytes (strings as
+    their UTF-8).
     """
     ship(df.sparkSession)
-    limit = int(ARROW_ROWS)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read() -> Iterator[tuple]:
@@ -65,12 +77,26 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]],
                 yield from zip(*[c.to_pylist() for c in cols], strict=True)
 
         out: list[tuple] = []
+        size = 0
         for r in rows(read()):
             out.append(r)
-            if len(out) >= limit:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-                out = []
+            size += sum(8 * len(x) if isinstance(x, list) else len(x) for x in r if isinstance(x, str | bytes | list))
+            if len(out) >= ARROW_ROWS or size >= ARROW_BYTES:
+                yield batch(out)
+                out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+            yield batch(out)
 
     return df.mapInArrow(run, schema)
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """For each of ``names`` itself with as many _ before it as no column has that name (case apart)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -41,8 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
     Links are first contracted within partitions; then large-star and
     small-star rounds alternate until nothing changes, a number of rounds
     that grows with the logarithm of the longest path. Each round joins the
-    links with one minimum for each node, so that a node with very many links
-    is pre-aggregated, and ends in a checkpoint in the shared folder.
+    links with one minimum for each node, which is aggregated and written
+    before the join: both sides of the join are then plain shuffles, and Spark
+    splits the partition of a node with very many links over tasks. A round
+    ends in a checkpoint in the shared folder.
     """
     e = cut(_contract(edges.where("u <> v")).distinct())
     mark = None
@@ -52,8 +54,8 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(e.groupBy("u").agg(F.min("v").alias("m")))
         joined = e.join(least, "u")
         e = cut(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())

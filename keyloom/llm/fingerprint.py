@@ -28,6 +28,8 @@ BINS = 1 << BIN_BITS
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 20
 ATTEMPTS = 4096
+#: Bytes of the input for a task at most, and ranges of ids for each task.
+TASK_BYTES, RANGES = 64 << 20, 4
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
@@ -145,9 +147,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(kept, lambda it: ((k, fingerprint(t).decode()) for k, t in it), "doc_id long, fingerprint string", arrow)
 
 
-def _ranges(docs: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with a column ``part``, rising with the id, of parts of about equal size; null ids come last."""
-    parts = max(2, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _parts(docs: DataFrame) -> int:
+    """Tasks for a table: those of a shuffle, or more where each would get over TASK_BYTES by Spark's estimate."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // TASK_BYTES, docs.count() // 64))
+
+
+def _ranges(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
+    """``docs`` with a column ``part``, rising with the id, of ``parts`` parts of about equal size; null ids come last."""
     bounds = sorted({*docs.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts)})
     inf = float("inf")
     cut = Bucketizer(splits=[-inf, *bounds, inf] if bounds else [-inf, 0.0, inf], inputCol="_at", outputCol="_part", handleInvalid="keep")
@@ -163,10 +170,14 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text, null ids last; after the last comes the first, which for a single
     row is the row itself). A null text counts as empty.
 
-    Texts are shuffled once, by ranges of the id. Each range also gets the
-    first document of the next one; the driver holds one id for each range.
+    Texts are shuffled once, by ranges of the id, RANGES to a task, so that
+    ranges that meet in one task even out. Tasks grow in number with the
+    input. Each range also gets the first document of the next one; the
+    driver holds one id for each range. Rows of one id are in one range.
     """
-    marked = _ranges(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "doc_id")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    parts = _parts(plain)
+    marked = _ranges(plain, "doc_id", RANGES * parts)
     firsts = sorted((r["_part"], r["least"]) for r in marked.groupBy("_part").agg(F.min("doc_id").alias("least")).collect())
     before = {p: firsts[i - 1][0] for i, (p, _) in enumerate(firsts)}
     ids = [i for _, i in firsts if i is not None]
@@ -177,7 +188,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if before:
         halo = halo.withColumn("_part", F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("_part")])
     both = marked.withColumn("_halo", F.lit(False)).unionByName(halo.withColumn("_halo", F.lit(True)))
-    dealt = both.repartition("_part").sortWithinPartitions("_part", "_halo", F.col("doc_id").asc_nulls_last(), "text")
+    dealt = both.repartition(parts, "_part").sortWithinPartitions("_part", "_halo", F.col("doc_id").asc_nulls_last(), "text")
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         def pair(key: int, raw: bytes, own: bytes, nxt: bytes, other: bytes) -> tuple:

@@ -25,18 +25,58 @@ PHRASES = {
     "all rights reserved": "reserved",
 }
 
-#: Templates: label and notice, from the published texts of these licences (fixed values).
+#: Templates: label and text, notices and whole licences, from the published texts (fixed values).
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+    documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+    to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+    whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+    permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS
+    IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+    FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+    CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+    CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+    with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+    applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+    WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+    permissions and limitations under the License."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+    conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+    list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+    distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+    WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+    ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+    SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+    LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+    CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+    SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+    granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+    "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+    MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+    DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+    OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+    License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+    version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+    warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+    distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+    use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+    commercial or non-commercial, and by any means."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+    liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+    purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+    restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+    software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
+    software. 3. This notice may not be removed or altered from any source distribution."""),
 ]
 
 #: Passages of fewer words are not chained, unless they are a whole template.
@@ -45,14 +85,23 @@ LONG = 4
 GAP = 12
 #: Covered share of a template's words from which its label is given.
 COVER = 0.75
+#: Bytes of a text that are cut into words at once.
+PIECE = 1 << 20
 
 #: Upper-case to lower-case letters, and every other ASCII character that is no letter or digit to a space.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def words(text: bytes) -> list[bytes]:
-    """Words of a UTF-8 text: runs of a-z (after lower-casing A-Z), 0-9 and characters beyond ASCII."""
-    return text.translate(WORDS).split()
+def words(text: bytes) -> Iterator[bytes]:
+    """Words of a UTF-8 text, in turn: runs of a-z (after lower-casing A-Z), 0-9 and characters beyond ASCII."""
+    rest = b""
+    for at in range(0, len(text), PIECE):
+        piece = rest + text[at : at + PIECE].translate(WORDS)
+        found = piece.split()
+        rest = found.pop() if found and not piece.endswith(b" ") else b""
+        yield from found
+    if rest:
+        yield rest
 
 
 @dataclass
@@ -60,14 +109,14 @@ class Automaton:
     """Suffix automaton of several word sequences.
 
     For each state: longest passage, suffix link, next states, and for each
-    template that holds it the end of one place there; ``ends`` lists the
-    phrases that end wherever the state is reached.
+    template that holds it the ends of all its places there, in order;
+    ``ends`` lists the phrases that end wherever the state is reached.
     """
 
     length: list[int] = field(default_factory=lambda: [0])
     link: list[int] = field(default_factory=lambda: [-1])
     step: list[dict[int, int]] = field(default_factory=lambda: [{}])
-    places: list[dict[int, int]] = field(default_factory=lambda: [{}])
+    places: list[dict[int, list[int]]] = field(default_factory=lambda: [{}])
     ends: list[tuple[tuple[int, int], ...]] = field(default_factory=list)
 
     def _state(self, length: int, link: int, step: dict[int, int]) -> int:
@@ -108,7 +157,7 @@ class Scanner:
 
     def __init__(self, phrases: dict[str, str], templates: list[tuple[str, str]]) -> None:
         self.labels = [*phrases.values(), *(k for k, _ in templates)]
-        texts = [words(t.encode()) for t in [*phrases, *(t for _, t in templates)]]
+        texts = [[*words(t.encode())] for t in [*phrases, *(t for _, t in templates)]]
         self.size = [len(t) for t in texts]
         self.base = len(phrases)
         self.vocabulary: dict[bytes, int] = {}
@@ -122,8 +171,8 @@ class Scanner:
             at = 0
             for i, w in enumerate(t):
                 at = s = m.step[at][w]
-                while s > 0 and k not in m.places[s]:
-                    m.places[s][k] = i
+                while s > 0:
+                    m.places[s].setdefault(k, []).append(i)
                     s = m.link[s]
         whole = {}
         for k in range(self.base):
@@ -138,12 +187,12 @@ class Scanner:
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], dict[int, tuple[float, int, int]]]:
         """Number of words, phrase places (start, phrase), and for each covered template share, first and last word."""
         m = self.machine
-        ids = list(map(self.vocabulary.get, found := words(text)))
         step, link, length, ends = m.step, m.link, m.length, m.ends
         hits: list[tuple[int, int]] = []
         passages: list[tuple[int, int, int]] = []
         state = size = 0
-        for i, w in enumerate(ids):
+        i = -1
+        for i, w in enumerate(map(self.vocabulary.get, words(text))):
             if w is None:
                 if size:
                     passages.append((i, size, state))
@@ -162,28 +211,36 @@ class Scanner:
                     if size >= n:
                         hits.append((i - n + 1, k))
         if size:
-            passages.append((len(ids), size, state))
-        return len(found), hits, self._chains(passages)
+            passages.append((i + 1, size, state))
+        return i + 1, hits, self._chains(passages)
 
     def _chains(self, passages: list[tuple[int, int, int]]) -> dict[int, tuple[float, int, int]]:
-        """Best chain of long passages for each template that is covered well enough."""
+        """Best chain of long passages for each template that is covered well enough.
+
+        A passage goes on the chain before it, in text and template, that
+        covers most, from every one of its places in the template. Chains that
+        ended over GAP words ago can't go on and are let go.
+        """
         best: dict[int, tuple[float, int, int]] = {}
-        live: dict[int, tuple[int, int, int, int]] = {}
+        live: dict[int, dict[int, tuple[int, int, int]]] = {}  # by template and end there: first word, end, words covered
         for end, size, state in passages:
-            for k, at in self.machine.places[state].items():
+            for k, places in self.machine.places[state].items():
                 if k < self.base or size < min(LONG, self.size[k]):
                     continue
-                first, last, place, covered = live.get(k, (0, -GAP - 1, -1, 0))
-                start, own = end - size, at - size + 1
-                if start - last <= GAP and place < at and own - place <= GAP:
-                    new = min(size, at - place)
-                    live[k] = (first, end, at, covered + new)
-                else:
-                    live[k] = (start, end, at, size)
-                first, last, _, covered = live[k]
-                share = min(1.0, covered / self.size[k])
-                if share >= COVER and share > best.get(k, (0.0,))[0]:
-                    best[k] = (share, first, last - 1)
+                start = end - size
+                chains = live[k] = {at: c for at, c in live.get(k, {}).items() if start - c[1] <= GAP}
+                new = {}
+                for at in places:
+                    own = at - size + 1
+                    first, covered = start, size
+                    for place, (began, _, so_far) in chains.items():
+                        if place < at and own - place <= GAP and so_far + min(size, at - place) > covered:
+                            first, covered = began, so_far + min(size, at - place)
+                    new[at] = (first, end, covered)
+                    share = min(1.0, covered / self.size[k])
+                    if share >= COVER and share > best.get(k, (0.0,))[0]:
+                        best[k] = (share, first, end - 1)
+                chains |= {at: c for at, c in new.items() if at not in chains or c[2] >= chains[at][2]}
         return best
 
 

@@ -16,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 SEED = "mix-1"
 #: Sources up to which their table is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_SOURCES = 10_000
+#: Names of the columns that ``mix`` adds.
+OUT = ("size", "source_size", "target", "taken")
 #: Hash classes of each source, of which one at most is taken in part.
 BINS = 4096
 
@@ -71,8 +73,8 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
     return first.select("source", "source_size", "target", "whole", F.coalesce("x.bin", F.lit(BINS)).alias("full_bins"), F.coalesce((F.col("rest") - (F.col("x.upto") - F.col("x.bin_size"))) / F.col("x.bin_size"), F.lit(0.0)).alias("part"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, whole_documents: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The input rows with ``size``, ``source_size``, ``target`` and ``taken``.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, whole_documents: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", out: tuple[str, str, str, str] = OUT) -> DataFrame:
+    """The input rows with the columns of ``out``: size, source_size, target and taken.
 
     ``taken`` counts the words that the mix takes of the document, repeats
     counted. In a source's last hash class a part of each document is taken,
@@ -80,17 +82,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     hash. Sources are ordered by code point, null last, for the cycle of
     weights. A null text has size 0; null ids share one hash; repeated rows
     are mixed as rows of their own with the same hash; an empty table gives
-    an empty result. Input columns of the four names are replaced. Reruns
-    give the same rows. No document is shuffled unless there are more than
-    BROADCAST_SOURCES sources.
+    an empty result. Input columns of the names in ``out`` are replaced, all
+    others are kept. Reruns give the same rows. No document is shuffled unless
+    there are more than BROADCAST_SOURCES sources; the result is the same.
     """
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    replaced = {n.lower() for n in out}
+    bin_name, draw, key, own = free([*docs.columns, *out], "_bin", "_draw", "_source", "_plan")
     bin_of = F.floor(_digits(F.col(id_col), seed, 1) / (2**32 // BINS)).cast("int")
     sized = docs.select(F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"), bin_of.alias("bin"))
-    per = cut(plan(sized, weights, epochs)).withColumnRenamed("source", "_source").withColumnRenamed("source_size", "_source_size").withColumnRenamed("target", "_target")
+    per = cut(plan(sized, weights, epochs)).select(F.col("source").alias(key), F.struct("source_size", "target", "whole", "full_bins", "part").alias(own))
     few = per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rows = docs.select(*names, size_of(F.col(text_col)).alias("size"), bin_of.alias("_bin"), (_digits(F.col(id_col), seed, 9) / float(2**32)).alias("_u"))
-    rows = rows.join(F.broadcast(per) if few else per, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
-    part = F.when(F.col("_u") < F.col("part"), F.col("size")).otherwise(0) if whole_documents else F.floor(F.col("size") * F.col("part"))
-    extra = F.when(F.col("_bin") < F.col("full_bins"), F.col("size")).when(F.col("_bin") == F.col("full_bins"), part).otherwise(0)
-    return rows.select(*names, "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("whole") + extra).cast("long").alias("taken"))
+    size = size_of(F.col(text_col)).alias(out[0])
+    rows = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in replaced], size, bin_of.alias(bin_name), (_digits(F.col(id_col), seed, 9) / float(2**32)).alias(draw), F.col(source_col).cast("string").alias(f"{key}_of"))
+    rows = rows.join(F.broadcast(per) if few else per, F.col(f"{key}_of").eqNullSafe(F.col(key)))
+    n, plan_of = F.col(out[0]), F.col(own)
+    part = F.when(F.col(draw) < plan_of["part"], n).otherwise(0) if whole_documents else F.floor(n * plan_of["part"])
+    extra = F.when(F.col(bin_name) < plan_of["full_bins"], n).when(F.col(bin_name) == plan_of["full_bins"], part).otherwise(0)
+    done = rows.withColumns({out[1]: plan_of["source_size"], out[2]: plan_of["target"], out[3]: (n * plan_of["whole"] + extra).cast("long")})
+    return done.drop(bin_name, draw, key, f"{key}_of", own)

@@ -1,12 +1,13 @@
 """Secret scans (operator 3): fixed patterns, and a battery of randomness tests.
 
-Long runs of letters, digits and a few signs are tested for randomness: the
-encoding is inferred from the characters, then a chi-squared test of uniform
-use of its alphabet, a runs test and a lag-1 serial correlation are made. Of
-the runs of one document those are secrets whose chi-squared is too small
-for written words of their length, under control of the false discovery rate
-with longer runs weighing more, and which the other two tests don't show to
-be orderly.
+Long runs of letters, digits and a few signs are tested for randomness. The
+encoding is inferred from a run's characters, without the signs that join
+words. Against written words three tests are made: a chi-squared test of how
+evenly the alphabet is used, a runs test on runs of characters of one class
+(upper case, lower case, digit), and lag-1 serial correlation of the places in
+the alphabet. Their normal scores are summed to one score a run, and the runs
+of a document are secrets under control of the false discovery rate, with
+longer runs weighing more.
 
 Native: DataFrame operations only.
 """
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 #: Kinds of base spans in order, with pattern, group and least length of what must be long enough (fixed values).
 #: The patterns of access and hex ask for that length themselves, which finds the same spans as dropping short ones later.
 KINDS = [
@@ -25,40 +28,68 @@ KINDS = [
 ]
 #: Runs that the battery tests, and the kind of the spans it adds.
 RUN, RANDOM = r"[A-Za-z0-9+/_-]{20,}", "random"
-#: Runs with a larger share of these signs are words or numbers that they join, as paths and identifiers.
-JOINTS, JOINT_SHARE = r"[/_-]", 0.08
-#: Encodings in order of inference: pattern, alphabet.
+#: Signs that join words, as in paths and identifiers; the battery looks at what is left without them.
+JOINTS = "/_-"
+#: Encodings in order of inference: pattern, alphabet, chance that two characters of written words within it are the
+#: same, and chance that a character of written words is of another class than the one before it.
 ENCODINGS = [
-    (r"^[0-9a-f]+$", "0123456789abcdef"),
-    (r"^[0-9A-F]+$", "0123456789ABCDEF"),
-    (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    (r"^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789"),
-    (r"^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
-    (r"^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
-    (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    (r"^[0-9a-f]+$", "0123456789abcdef", 0.26, 0.1),
+    (r"^[0-9A-F]+$", "0123456789ABCDEF", 0.26, 0.1),
+    (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.066, 0.1),
+    (r"^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", 0.066, 0.1),
+    (r"^[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 0.066, 0.1),
+    (r"^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 0.066, 0.35),
+    (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+", 0.066, 0.35),
 ]
-#: Chance that two letters of written words are the same.
-COINCIDENCE = 0.066
-#: False discovery rate of each document, and the least two-sided level of runs and serial correlation.
-RATE, ORDERLY_Z = 0.01, 3.3
+#: Lag-1 serial correlation of written words, in which characters of one class stand together.
+SERIAL = 0.3
+#: Share of false discoveries among the secrets of the battery, in each document.
+RATE = 0.01
+#: Spans of which the starts are summed up together.
+BLOCK = 64
+_SPAN = "struct<start:long,rank:int,end:long,value:string>"
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _before(sizes: Column, then) -> Column:
+    """``then`` of the function that gives the sum of all ``sizes`` before a place: of whole blocks, and within one."""
+    count = F.ceil(F.size(sizes) / BLOCK).cast("int")
+    sums = F.transform(F.sequence(F.lit(0), count), lambda b: _total(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK))))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+    return _let(F.aggregate(sums, start, step, lambda acc: acc["out"]), lambda upto: then(lambda i: F.get(upto, block(i)) + _total(F.slice(sizes, block(i) * BLOCK + 1, i % BLOCK))))
 
 
-def _with_spans(df: DataFrame, text: str, kind: str, pattern: str, rank: int, keep) -> DataFrame:
-    """Adds a column ``kind``: array of (start, rank, end, value) of the leftmost matches for which ``keep`` holds."""
-    df = df.withColumn("_found", F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
-    gaps = F.when(F.size("_found") > 0, F.split(F.col(text), pattern, -1))
-    df = df.withColumn("_pairs", F.arrays_zip(F.col("_found").alias("m"), F.transform(F.slice(gaps, F.lit(1), F.size("_found")), lambda g: F.length(g)).alias("g")))
-    row = "array<struct<start:long,rank:int,end:long,value:string>>"
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(row).alias("out"))
+def _spans(text: Column, pattern: str, rank: int) -> Column:
+    """Array of (start, rank, end, value) of the leftmost matches of a pattern."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        end = start + F.length(x["m"])
-        own = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
+    def placed(x: Column) -> Column:
+        pairs = F.zip_with(x["found"], F.slice(x["gaps"], F.lit(1), F.size(x["found"])), lambda m, g: F.struct(m.alias("m"), F.length(g).cast("long").alias("g"), (F.length(g) + F.length(m)).cast("long").alias("both")))
 
-    spans = F.aggregate("_pairs", empty, step, lambda acc: acc["out"])
-    return df.withColumn(kind, F.when(F.size("_found") > 0, F.filter(spans, lambda x: keep(x["value"]))).otherwise(F.array().cast(row))).drop("_found", "_pairs")
+        def spans(p: Column) -> Column:
+            def one(sums):
+                def span(y: Column, i: Column) -> Column:
+                    start = sums(i) + y["g"]
+                    return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(y["m"])).alias("end"), y["m"].alias("value"))
+
+                return F.transform(p["pairs"], span)
+
+            return _before(p["sizes"], one)
+
+        return _let(F.struct(pairs.alias("pairs"), F.transform(pairs, lambda y: y["both"]).alias("sizes")), spans)
+
+    none = F.array().cast(f"array<{_SPAN}>")
+    return F.when(text.rlike(pattern), _let(F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps")), placed)).otherwise(none)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -69,70 +100,100 @@ def _upper_tail(z: Column) -> Column:
 
 
 def battery(value: Column) -> Column:
-    """Struct of the encoding's size, chi-squared, runs z, serial z, and the p-value against written words."""
-    alphabet: Column = F.lit(ENCODINGS[-1][1])
-    for pattern, letters in ENCODINGS[-2::-1]:
-        alphabet = F.when(value.rlike(pattern), F.lit(letters)).otherwise(alphabet)
-    n = F.length(value).cast("double")
-    k = F.length(alphabet).cast("double")
-    counts = F.transform(F.split(alphabet, ""), lambda c: F.when(c == "", 0).otherwise(F.length(value) - F.length(F.replace(value, c, F.lit("")))))
-    squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-    chi = squares * k / n - n
-    places = F.transform(F.split(value, ""), lambda c: F.when(c == "", F.lit(None)).otherwise(F.call_function("instr", alphabet, c).cast("double")))
-    return F.struct(k.alias("k"), n.alias("n"), chi.alias("chi"), F.filter(places, lambda x: x.isNotNull()).alias("x"))
-
-
-def _tested(value: Column) -> Column:
-    def more(b: Column) -> Column:
-        n, k, x = b["n"], b["k"], b["x"]
+    """Struct of the length that is tested, the scores of the three tests and the p-value of their sum against written words."""
+    plain = F.translate(value, JOINTS, "")
+
+    def inferred(v: Column) -> Column:
+        chosen = F.lit(len(ENCODINGS) - 1)
+        for i, (pattern, *_) in reversed([*enumerate(ENCODINGS[:-1])]):
+            chosen = F.when(v.rlike(pattern), F.lit(i)).otherwise(chosen)
+        table = F.array(*[F.struct(F.lit(a).alias("letters"), F.lit(same).alias("same"), F.lit(change).alias("change")) for _, a, same, change in ENCODINGS])
+        return F.struct(v.alias("v"), F.filter(F.split(v, ""), lambda c: c != "").alias("c"), F.get(table, chosen).alias("e"))
+
+    def tested(b: Column) -> Column:
+        k, n = F.length(b["e"]["letters"]).cast("double"), F.length(b["v"]).cast("double")
+        x = F.transform(b["c"], lambda c: F.call_function("instr", b["e"]["letters"], c).cast("double"))
+        squares = F.aggregate(F.transform(F.split(b["e"]["letters"], ""), lambda c: F.when(c == "", 0).otherwise(n - F.length(F.replace(b["v"], c, F.lit(""))))), F.lit(0.0), lambda a, m: a + m * m)
+        kinds = F.transform(b["c"], lambda c: F.when(c.between("0", "9"), 0).when(c.between("A", "Z"), 1).when(c.between("a", "z"), 2).otherwise(3))
+        return F.struct(n.alias("n"), k.alias("k"), b["e"]["same"].alias("same"), b["e"]["change"].alias("change"), x.alias("x"), kinds.alias("kinds"), squares.alias("squares"))
+
+    def scored(t: Column) -> Column:
+        n, k, x = t["n"], t["k"], t["x"]
+        excess = n * (k * t["same"] - 1)
+        chi = (k - 1 + excess - (t["squares"] * k / n - n)) / F.sqrt(2 * (k - 1 + 2 * excess))
+        kinds = t["kinds"]
+        changes = F.aggregate(F.zip_with(kinds, F.slice(kinds, 2, F.size(kinds)), lambda a, b: (a != b).cast("double")), F.lit(0.0), lambda a, d: a + F.coalesce(d, F.lit(0.0)))
+        runs = (changes - (n - 1) * t["change"]) / F.sqrt((n - 1) * t["change"] * (1 - t["change"]))
         mean = F.aggregate(x, F.lit(0.0), lambda a, y: a + y) / n
-        low = F.aggregate(x, F.lit(0.0), lambda a, y: a + F.when(y <= k / 2, 1.0).otherwise(0.0))
-        moves = F.aggregate(x, F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("both"), F.lit(0.0).alias("square"), F.lit(0.0).alias("before")), lambda a, y: F.struct(
-            F.when(y <= k / 2, 0.0).otherwise(1.0).alias("last"),
-            (a["runs"] + F.when(a["last"] == F.when(y <= k / 2, 0.0).otherwise(1.0), 0.0).otherwise(1.0)).alias("runs"),
-            (a["both"] + F.when(a["last"] < 0, 0.0).otherwise((y - mean) * (a["before"] - mean))).alias("both"),
-            (a["square"] + (y - mean) * (y - mean)).alias("square"),
-            y.alias("before"),
-        ))
-        return F.transform(F.array(moves), lambda m: F.transform(F.array(2 * low * (n - low) / n + 1), lambda mu: F.struct(
-            F.when((low == 0) | (low == n), 99.0).otherwise((m["runs"] - mu) / F.sqrt(F.greatest((mu - 1) * (mu - 2) / (n - 1), F.lit(1e-9)))).alias("runs"),
-            F.when(m["square"] == 0, 99.0).otherwise(m["both"] / m["square"] * F.sqrt(n)).alias("serial"),
-            _upper_tail(((k - 1) + n * F.greatest(k * COINCIDENCE - 1, F.lit(0.5)) - b["chi"]) / F.sqrt(2 * ((k - 1) + 2 * n * F.greatest(k * COINCIDENCE - 1, F.lit(0.5))))).alias("p"),
-            n.alias("n"),
-        ))[0])[0]
-
-    return F.transform(F.array(battery(value)), more)[0]
+
+        def serial(m: Column) -> Column:
+            d = F.transform(x, lambda y: y - m)
+            return _let(d, lambda d: _let(F.aggregate(d, F.lit(0.0), lambda a, y: a + y * y), lambda square: F.when(square == 0, 1.0).otherwise(F.aggregate(F.zip_with(d, F.slice(d, 2, F.size(d)), lambda a, b: a * b), F.lit(0.0), lambda a, y: a + F.coalesce(y, F.lit(0.0))) / square)))
+
+        order = (SERIAL - _let(mean, serial)) * F.sqrt(n)
+        return F.struct(n.alias("n"), chi.alias("chi"), runs.alias("runs"), order.alias("serial"))
+
+    def combined(z: Column) -> Column:
+        return F.struct(z["n"].alias("n"), z["chi"].alias("chi"), z["runs"].alias("runs"), z["serial"].alias("serial"), _upper_tail((z["chi"] + z["runs"] + z["serial"]) / 3**0.5).alias("p"))
+
+    return _let(_let(_let(_let(plain, inferred), tested), scored), combined)
 
 
 def _discovered(runs: Column) -> Column:
     """Runs of a document found by the Benjamini-Hochberg rule, with weights by length."""
-    m = F.size(runs)
-    mean = F.aggregate(runs, F.lit(0.0), lambda a, r: a + r["test"]["n"]) / m
-    weighed = F.array_sort(F.transform(runs, lambda r: F.struct((r["test"]["p"] / (r["test"]["n"] / mean)).alias("q"), r["span"].alias("span"), r["test"].alias("test"))))
-    good = F.filter(F.transform(weighed, lambda r, i: F.when(r["q"] <= (i + 1) * RATE / m, r["q"])), lambda q: q.isNotNull())
-    return F.filter(weighed, lambda r: (r["q"] <= F.coalesce(F.array_max(good), F.lit(-1.0))) & (F.abs(r["test"]["runs"]) < ORDERLY_Z) & (F.abs(r["test"]["serial"]) < ORDERLY_Z))
+    mean = F.aggregate(runs, F.lit(0.0), lambda a, r: a + r["test"]["n"]) / F.size(runs)
+    weighed = _let(mean, lambda m: F.array_sort(F.transform(runs, lambda r: F.struct((r["test"]["p"] / (r["test"]["n"] / m)).alias("q"), r["span"].alias("span")))))
+
+    def kept(w: Column) -> Column:
+        good = F.array_max(F.filter(F.transform(w, lambda r, i: F.when(r["q"] <= (i + 1) * RATE / F.size(w), r["q"])), lambda q: q.isNotNull()))
+        return _let(F.coalesce(good, F.lit(-1.0)), lambda most: F.transform(F.filter(w, lambda r: r["q"] <= most), lambda r: r["span"]))
+
+    return _let(weighed, kept)
+
+
+def _last_end(spans: Column, before: Column) -> Column:
+    """End of the last of ``spans`` (in order, apart) that starts before a place, or 0; found by halving."""
+    start = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+    middle = lambda a: F.shiftright(a["low"] + a["high"], 1)
+
+    def step(a: Column, _: Column) -> Column:
+        under = F.get(spans, middle(a))["start"] < before
+        return F.when(a["low"] >= a["high"], a).otherwise(F.struct(F.when(under, middle(a) + 1).otherwise(a["low"]).alias("low"), F.when(under, a["high"]).otherwise(middle(a)).alias("high")))
+
+    steps = F.sequence(F.lit(0), F.length(F.bin(F.size(spans).cast("long"))))
+    return F.aggregate(steps, start, step, lambda a: F.when(a["low"] > 0, F.get(spans, a["low"] - 1)["end"]).otherwise(F.lit(0).cast("long")))
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input rows with ``secrets``: spans (start, rank, end, value) by start and kind.
+def _apart(runs: Column, spans: Column) -> Column:
+    """The ``runs`` that meet none of ``spans``."""
+    return F.filter(runs, lambda r: _last_end(spans, r["end"]) <= r["start"])
+
+
+def _long_enough(spans: Column, pattern: str, group: int, least: int) -> Column:
+    return F.filter(spans, lambda x: F.length(F.regexp_extract(x["value"], pattern, group)) >= least) if group else spans
+
+
+def scan(docs: DataFrame, text_col: str = "text", out: str = "secrets") -> DataFrame:
+    """The input rows with a column ``out``: spans (start, rank, end, value) by start and kind.
 
     ``rank`` is the place of the kind in KINDS, or that after them for spans
     of the battery, which never overlap the others; start and end are code
     points, end exclusive. A null text counts as empty. Repeated rows are
-    kept; an input column named secrets is replaced. Rows are never
-    shuffled. The spans of one text are put together in a time that grows
-    with the square of their number.
+    kept; an input column of the name ``out`` is replaced, all others are
+    kept, whatever their names. Rows are never shuffled.
     """
-    df = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    for rank, (kind, pattern, group, least) in enumerate(KINDS):
-        df = _with_spans(df, "_text", f"_{kind}", pattern, rank, (lambda v, p=pattern, g=group, n=least: F.length(F.regexp_extract(v, p, g)) >= n) if group else (lambda v: F.lit(True)))
-    df = df.withColumn("_base", F.concat(*[f"_{k}" for k, *_ in KINDS])).drop(*[f"_{k}" for k, *_ in KINDS])
-    df = _with_spans(df, "_text", "_runs", RUN, len(KINDS), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.regexp_count(v, F.lit(JOINTS)) <= F.length(v) * JOINT_SHARE))
-    free = F.filter("_runs", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    df = df.withColumn("_free", free)
-    df = df.withColumn("_tested", F.when(F.size("_free") > 0, F.transform("_free", lambda r: F.struct(r.alias("span"), _tested(r["value"]).alias("test")))))
-    found = F.when(F.size("_tested") > 0, F.transform(_discovered(F.col("_tested")), lambda r: r["span"]))
-    return df.withColumn("secrets", F.array_sort(F.concat("_base", F.coalesce(found, F.filter("_base", lambda x: F.lit(False)))))).drop("_text", "_base", "_runs", "_free", "_tested")
+    names = free([*docs.columns, out], "_text", *[f"_{k}" for k, *_ in KINDS], "_runs", "_tested")
+    text, *base, runs, tested = names
+    df = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    for rank, (name, (_, pattern, group, least)) in enumerate(zip(base, KINDS, strict=True)):
+        df = df.withColumn(name, _long_enough(_spans(F.col(text), pattern, rank), pattern, group, least))
+    free_runs = F.filter(_spans(F.col(text), RUN, len(KINDS)), lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]"))
+    for name in base:
+        free_runs = _apart(free_runs, F.col(name))
+    df = df.withColumn(runs, free_runs)
+    df = df.withColumn(tested, F.when(F.size(runs) > 0, F.transform(runs, lambda r: F.struct(r.alias("span"), battery(r["value"]).alias("test")))))
+    found = F.when(F.size(tested) > 0, _discovered(F.col(tested))).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return df.withColumn(out, F.array_sort(F.concat(*base, found))).drop(*names)
 
 
 def listed(spans: Column, kinds: list[str]) -> Column:
@@ -142,8 +203,13 @@ def listed(spans: Column, kinds: list[str]) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """The input rows with every span of their text, overlapping ones as one, replaced by ``mark``; null stays null."""
-    df = scan(docs, text_col)
+    """The input rows with every span of their text, overlapping ones as one, replaced by ``mark``; null stays null.
+
+    All other columns are kept, whatever their names. A text with very many
+    spans takes a time that grows with its length times their number.
+    """
+    (found,) = free(docs.columns, "_secrets")
+    df = scan(docs, text_col, found)
     text = F.col(text_col)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -151,5 +217,5 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
         new = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("secrets", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return df.withColumn(text_col, F.when(F.size("secrets") > 0, clean).otherwise(text)).drop("secrets")
+    clean = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    return df.withColumn(text_col, F.when(F.size(found) > 0, clean).otherwise(text)).drop(found)

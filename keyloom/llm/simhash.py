@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows
+from .common import cut, free, map_rows
 from .components import components
 
 TAU = 2
@@ -196,9 +196,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     root = components(links(fps))
-    joined = fps.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = joined.join(least, "root").select("fp", "component_id")
+    joined = cut(fps.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = cut(joined.groupBy("root").agg(F.min("least").alias("component_id")))
+    ids = cut(joined.join(least, "root").select("fp", "component_id"))
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -208,7 +208,8 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataF
     One row is kept for each such id; a row with a null id is kept where its
     component has no id.
     """
+    (name,) = free(docs.columns, "_kept")
     kept = cut(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
     repeated = kept.where("n > 1").limit(1).count() > 0
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")).hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    out = docs.join(kept.select(F.col("doc_id").alias(name)).hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_semi")
     return out.dropDuplicates([id_col]) if repeated else out

@@ -10,6 +10,7 @@ bound, so that the result stays exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from .common import cut, ship
 SHARD, LEAF = 16_384, 64
 #: Queries of one pass over the candidates; their table is broadcast, so it is bounded.
 QUERY_BYTES = 32 << 20
-#: Candidates of the sample from which first kth scores come.
+#: Candidates at least in the sample from which first kth scores come; it grows with the square root of all.
 SAMPLE = 4096
 #: Stands for no score; its negative is a 64-bit number too.
 NONE = -(1 << 62)
@@ -143,11 +144,14 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
     the smaller id; all rows where there are fewer than k. Rows with a null
     id, or a vector that is null or holds null or non-finite components, take
     no part; vectors meet only those of their own length. Repeated rows are
-    candidates and queries only once for each (id, vector). Other columns are
-    not read. Scores must fit in 64 bits.
+    candidates and queries only once for each (id, vector); the vectors of one
+    query id share its k places, a candidate id that has several vectors may
+    take several of them. Other columns are not read. Scores must fit in 64
+    bits.
 
     Queries pass over the candidates in blocks of at most QUERY_BYTES, which
-    are broadcast; candidates are not shuffled.
+    are broadcast; candidates are not shuffled. The sample that first bounds
+    come from is drawn once and written.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -160,15 +164,16 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
         blocks = -(-n * 8 * max(width, 1) // QUERY_BYTES)
         same = queries.where(F.size("v") == width)
         total = valid.where(F.size("v") == width).count()
-        spot = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(total, 1)) * (1 << 30))
-        sample = valid.where(spot)
+        wanted = SAMPLE + 4 * math.isqrt(total)
+        spot = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < int(min(1.0, wanted / max(total, 1)) * (1 << 30))
+        sample = cut(valid.where((F.size("v") == width) & spot).repartition(max(1, -(-wanted // SHARD))))
         for block in range(blocks):
             own = same.where(F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)) == block).toArrow()
             if not own.num_rows:
                 continue
             q_ids = own.column("id").to_numpy().astype(np.int64)
             rows = _matrix(own.column("v").combine_chunks(), len(q_ids))
-            low = {r["query_id"]: r["score"] for r in _ranked(_pass(sample.coalesce(8), q_ids, rows, np.full(len(q_ids), NONE), k), k).where(F.col("rank") == k).select("query_id", "score").collect()}
+            low = {r["query_id"]: r["score"] for r in _ranked(_pass(sample, q_ids, rows, np.full(len(q_ids), NONE), k), k).where(F.col("rank") == k).select("query_id", "score").collect()}
             floor = np.array([low.get(i, NONE) for i in q_ids.tolist()], np.int64)
             found = _pass(valid, q_ids, rows, floor, k)
             out = found if out is None else out.unionByName(found)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free
 
 #: Bits of the filter for each listed URL, and bits of a block (four words of 64).
 BITS_PER_URL, BLOCK_BITS = 16, 256
@@ -34,9 +34,28 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(_rest(url), F.lit("")), "^[^/?#]*([^?#]*)", 1)
 
 
+def _without_dots(path: Column) -> Column:
+    """The segments of a path, those of ``.`` left out and those of ``..`` with the one before them."""
+
+    def step(kept: Column, s: Column) -> Column:
+        return F.when(s == ".", kept).when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(s)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def canonical(host: Column, path: Column) -> Column:
-    """Host and path, without slashes at the end."""
-    return F.regexp_replace(F.concat(host, path), "/+$", "")
+    """One form for the URLs of a page, without scheme, query and fragment.
+
+    Of the host: user names, the ports 80 and 443 and dots at its end are
+    left out. Of the path: bytes written with % are read (a slash stays
+    written), segments of dots are followed, slashes count once and none at
+    the end.
+    """
+    host = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), "[.]*(:(80|443)?)?$", "")
+    kept = F.regexp_replace(F.regexp_replace(path, "%2[Ff]", "%252F"), "[+]", "%2B")
+    path = F.when(path.contains("%"), F.coalesce(F.try_url_decode(kept), path)).otherwise(path)
+    path = F.when(path.rlike(r"/[.]{1,2}(/|$)"), _without_dots(path)).otherwise(path)
+    return F.concat(host, F.regexp_replace(F.regexp_replace(path, "/+", "/"), "/$", ""))
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -63,7 +82,10 @@ def _words(key: Column) -> list[Column]:
 
 
 def bloom(listed: DataFrame, key: str) -> tuple[Column, int]:
-    """A blocked Bloom filter of a column as a scalar subquery (array of words), and its number of blocks."""
+    """A blocked Bloom filter of a column as a scalar subquery (array of words), and its number of blocks.
+
+    The filter is made once and written, one row; what reads it is a scan.
+    """
     n = listed.count()
     blocks = 1
     while blocks < MAX_BLOCKS and blocks * BLOCK_BITS < n * BITS_PER_URL:
@@ -73,7 +95,7 @@ def bloom(listed: DataFrame, key: str) -> tuple[Column, int]:
     own = own.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4)])
     dense = spark.range(blocks).select(F.col("id").cast("int").alias("block")).join(own, "block", "left")
     rows = dense.select(F.struct("block", F.array(*[F.coalesce(f"w{i}", F.lit(0).cast("long")) for i in range(4)]).alias("w")).alias("x"))
-    return rows.agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["w"])).alias("words")).scalar(), blocks
+    return rows.agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["w"])).alias("words")).transform(cut).scalar(), blocks
 
 
 def maybe_listed(key: Column, words: Column, blocks: int) -> Column:
@@ -96,15 +118,19 @@ def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, url_col: str =
     pass the filter take part in the exact join.
 
     A null URL or one without ``://`` has empty host and path, no rule, and is
-    allowed. Input columns named host, path, rule or verdict are replaced.
+    allowed. Input columns named host, path, rule or verdict are replaced, all
+    others are kept, whatever their names.
     """
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    keys = cut(listed.select(F.col(listed.columns[0]).alias("_listed")).where("_listed is not null").distinct())
-    words, blocks = bloom(keys, "_listed")
-    parts = pages.select(*names, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    parts = parts.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_key", canonical(F.col("host"), F.col("path")))
-    parts = parts.withColumn("_maybe", F.col("_rule").isNull() & (F.col("_key") != "") & maybe_listed(F.col("_key"), words, blocks))
-    far = parts.where(~F.col("_maybe")).withColumn("_listed", F.lit(None).cast("string"))
-    near = parts.where("_maybe").join(keys, F.col("_key") == F.col("_listed"), "left")
-    verdict = F.coalesce("_rule.verdict", F.when(F.col("_listed").isNotNull(), "block").otherwise("allow"))
-    return far.unionByName(near).select(*names, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))
+    out = ("host", "path", "rule", "verdict")
+    ruled, key, maybe, match = free([*pages.columns, *out], "_rule", "_key", "_maybe", "_listed")
+    keys = cut(listed.select(F.col(listed.columns[0]).alias(match)).where(F.col(match).isNotNull()).distinct())
+    words, blocks = bloom(keys, match)
+    kept = [pages[f"`{c}`"] for c in pages.columns if c.lower() not in out]
+    parts = pages.select(*kept, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    parts = parts.withColumns({ruled: rule_of(F.col("host"), F.col("path"), rules), key: canonical(F.col("host"), F.col("path"))})
+    parts = parts.withColumn(maybe, F.col(ruled).isNull() & (F.col(key) != "") & maybe_listed(F.col(key), words, blocks))
+    far = parts.where(~F.col(maybe)).withColumn(match, F.lit(None).cast("string"))
+    near = parts.where(F.col(maybe)).join(keys, F.col(key) == F.col(match), "left")
+    rule = F.col(ruled)
+    verdict = F.coalesce(rule["verdict"], F.when(F.col(match).isNotNull(), "block").otherwise("allow"))
+    return far.unionByName(near).withColumns({"rule": rule["rule"], "verdict": verdict}).drop(ruled, key, maybe, match)

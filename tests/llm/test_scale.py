@@ -1,0 +1,319 @@
+"""Long texts, many spans, large buckets and clashing names; and slow versions of the secret battery and of naive Bayes."""
+
+from __future__ import annotations
+
+import math
+import random
+import string
+import time
+
+import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from keyloom.llm import bpe, chats, common, components, fingerprint, langid, licenses, mixing, secrets, similar, simhash, topk, urls
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+# --- clashing names, through the pipeline's stages ------------------------------
+
+
+CLASHING = ["secrets", "_text", "_bin", "_kept", "_source", "_plan", "size", "source_size", "target", "taken", "lang_pred", "lang_score", "copy", "_runs", "_tested", "_secrets", "node", "fp", "component_id", "root", "ids", "n_tokens"]
+
+
+def odd_documents(spark):
+    text = "the cat sat on the mat and looked at the dog that ran over the hill " * 4
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (2, None, None, None), (None, "wir gehen heute in die stadt und kaufen brot", "de", "b"), (4, "", "en", "a"), (5, "x1 " * 90_000, "de", None), (6, "password = hunter2000 and more words here", "en", "b"), (7, text + "indeed", "en", "c")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+
+
+def test_stages_keep_columns_of_clashing_names(spark, data, tmp_path):
+    docs = odd_documents(spark)
+    for i, c in enumerate(CLASHING):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{i}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    own = {r["doc_id"]: r for r in docs.collect()}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, data)
+        if i == len(corpus_pipeline.STAGES) - 1:
+            assert out.count() == docs.count()
+            break
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        for r in docs.collect():
+            assert all(r[c] == own[r["doc_id"]][c] for c in CLASHING), name
+    ids = [r["doc_id"] for r in docs.select("doc_id").distinct().collect()]
+    assert 2 not in ids and 4 not in ids and {1, 5, 6} <= set(ids)
+
+
+def test_stages_of_an_empty_table(spark, data):
+    docs = odd_documents(spark).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, data).count() == 0
+
+
+def test_free_names():
+    assert common.free(["a", "_b", "B"], "a", "b", "c", "c") == ["_a", "__b", "c", "_c"]
+
+
+def test_url_columns_of_clashing_names(spark):
+    t = spark.createDataFrame([(1, "http://bad.org/p", "x", "y", "z")], "page_id long, url string, _key string, _listed string, _maybe string")
+    got = urls.judge(t, [], spark.createDataFrame([("bad.org/p",)], "u string")).first()
+    assert (got["verdict"], got["_key"], got["_listed"], got["_maybe"]) == ("block", "x", "y", "z")
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.checkpoint_dir(Session())
+
+
+def test_batches_end_by_bytes(spark):
+    import pyarrow as pa
+
+    t = spark.range(40, numPartitions=1).select("id", F.repeat(F.lit("x"), 1_000_000).alias("text"))
+    seen = common.map_rows(t, lambda it: ((i, x) for i, x in it), "id long, text string", pa.schema([("id", pa.int64()), ("text", pa.string())]))
+    sizes = seen.mapInArrow(lambda bs: (b.slice(0, 1).set_column(0, "id", pa.array([b.num_rows], pa.int64())) for b in bs), "id long, text string").collect()
+    assert max(r["id"] for r in sizes) <= 8 and sum(r["id"] for r in sizes) == 40
+
+
+# --- long inputs ---------------------------------------------------------------
+
+
+def test_special_tokens_take_time_by_length():
+    with open(VOCABULARY, encoding="utf-8") as f:
+        coder = bpe.Bpe(f.read())
+    mark = max(coder.special, key=len)
+    seconds = []
+    for n in (10_000, 100_000):
+        began = time.perf_counter()
+        assert coder.encode(mark * n) == [coder.special[mark]] * n
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 40 * seconds[0] + 0.5
+
+
+def test_outputs_of_the_encoder(spark):
+    t = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert bpe.encode(t, VOCABULARY, outputs=("n_tokens",)).columns == ["doc_id", "n_tokens"]
+
+
+def test_many_spans_of_one_text(spark):
+    piece = "token = abcdef12 lorem AbCdEfGh12345678Zx9Lk20 é "
+    t = spark.createDataFrame([(1, piece * 10_000), (2, "plain " * 800_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["secrets"] for r in secrets.scan(t).collect()}
+    assert got[2] == []
+    base = [(s["start"], s["end"]) for s in got[1] if s["rank"] == 0]
+    assert base == [(i * len(piece), i * len(piece) + 16) for i in range(10_000)]
+
+
+def test_language_of_a_long_text(spark, data):
+    model = langid.fit(spark.read.parquet(f"{data}/documents.parquet"))
+    text = "the cat sat on the mat and looked at the other dog " * 100_000
+    assert model.score([text])[0][0] == model.score([text[:510]])[0][0]
+
+
+def slow_counts(text):
+    c = [32]
+    for ch in f"{text.lower()} ":
+        o = ord(ch) if ch.isalpha() else 32
+        if o != 32 or c[-1] != 32:
+            c.append(o)
+    out = np.zeros(1 << langid.BITS, int)
+    for n in langid.SIZES if len(c) > 1 else ():
+        for i in range(len(c) - n + 1):
+            h = 0
+            for x in c[i : i + n]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ x
+            out[((h + n) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - langid.BITS)] += 1
+    return out
+
+
+@pytest.mark.parametrize("piece", [1 << 16, 1, 2, 3, 5])
+def test_counts_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    rnd = random.Random(piece)
+    for _ in range(40):
+        text = "".join(rnd.choice("ab é1 .Z") for _ in range(rnd.randrange(30)))
+        assert (langid.counts(text) == slow_counts(text)).all()
+
+
+def test_naive_bayes_against_a_slow_version(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    learned = docs.where(~langid.held_out()).where("text is not null and lang is not null").collect()
+    names = sorted({r["lang"] for r in learned})
+    smooth = np.stack([sum((slow_counts(r["text"][:2000]) for r in learned if r["lang"] == k), np.zeros(1 << langid.BITS)) for k in names], axis=1) + 0.5
+    logs = np.log(smooth / smooth.sum(axis=0))
+    short = docs.withColumn("text", F.substring("text", 1, 2000))
+    model = langid.fit(short.where(~langid.held_out()))
+    for r in langid.identify(short.where(langid.held_out()), model).collect():
+        own = slow_counts(r["text"] or "") @ logs
+        if (r["text"] or "").strip() and own.any():
+            p = np.exp(own - own.max())
+            assert r["lang_pred"] == names[int(own.argmax())] and abs(r["lang_score"] - float((p / p.sum()).max())) < 1e-6
+
+
+def test_many_languages_are_learned_with_fewer_buckets(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MATRIX", 1 << 12)
+    t = spark.createDataFrame([(i, f"{chr(97 + i % 20) * 4} word", f"l{i % 20}") for i in range(200)], "doc_id long, text string, lang string")
+    model = langid.fit(t)
+    assert len(model.languages) == 20 and model.logs.shape == (128, 20)
+    assert sum(r["lang_pred"] == r["lang"] for r in langid.identify(t, model).collect()) >= 150
+
+
+# --- the battery against numpy ---------------------------------------------------
+
+
+def slow_battery(value):
+    v = "".join(c for c in value if c not in secrets.JOINTS)
+    import re
+
+    letters, same, change = next((a, s, c) for p, a, s, c in secrets.ENCODINGS if re.search(p, v))
+    k, n = len(letters), len(v)
+    counts = np.array([v.count(c) for c in letters], float)
+    chi = (counts**2).sum() * k / n - n
+    excess = n * (k * same - 1)
+    z = (k - 1 + excess - chi) / math.sqrt(2 * (k - 1 + 2 * excess))
+    kind = [0 if c.isdigit() else 1 if "A" <= c <= "Z" else 2 if "a" <= c <= "z" else 3 for c in v]
+    changes = sum(a != b for a, b in zip(kind, kind[1:], strict=False))
+    runs = (changes - (n - 1) * change) / math.sqrt((n - 1) * change * (1 - change))
+    x = np.array([letters.index(c) + 1 for c in v], float)
+    d = x - x.mean()
+    serial = (secrets.SERIAL - (1.0 if not (d * d).sum() else (d[:-1] * d[1:]).sum() / (d * d).sum())) * math.sqrt(n)
+    return z, runs, serial, 0.5 * math.erfc((z + runs + serial) / math.sqrt(3) / math.sqrt(2))
+
+
+def test_battery_against_a_slow_version(spark):
+    rnd = random.Random(11)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_"]
+    values = ["".join(rnd.choices(rnd.choice(alphabets), k=rnd.randrange(20, 60))) for _ in range(200)] + ["a1" * 15, "getUserNameFromAccount2024"]
+    t = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.battery(F.col("v")).alias("b"))
+    for r in t.collect():
+        want = slow_battery(r["v"])
+        assert np.allclose([r["b"]["chi"], r["b"]["runs"], r["b"]["serial"]], want[:3]) and abs(r["b"]["p"] - want[3]) < 1e-6
+
+
+def test_recall_of_the_battery(spark):
+    """At least 0.75 of the random strings of each encoding from 20 characters on, and 0.9 from 32 on; few written names."""
+    rnd = random.Random(1)
+    alphabets = {"HEX": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "base36": string.ascii_lowercase + string.digits, "base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "base64url": string.ascii_letters + string.digits + "-_"}
+    words = "get user name from the active session internal account number for current transaction build configuration version manager release candidate standard library operators sources functions".split()
+    rows = [(k, n, "".join(rnd.choices(a, k=n))) for k, a in alphabets.items() for n in (20, 32) for _ in range(100)]
+    rows += [("words", 0, join.join(rnd.sample(words, 5)) + join + str(rnd.randrange(1, 3000))) for join in "-_/" for _ in range(100)]
+    t = secrets.scan(spark.createDataFrame([(k, n, f"see {v} there") for k, n, v in rows], "k string, n int, text string"))
+    got = {(r["k"], r["n"]): r["found"] for r in t.groupBy("k", "n").agg(F.avg((F.size("secrets") > 0).cast("int")).alias("found")).collect()}
+    for k in alphabets:
+        assert got[k, 20] >= 0.75 and got[k, 32] >= 0.9, (k, got)
+    assert got["words", 0] <= 0.01
+
+
+# --- large buckets ---------------------------------------------------------------
+
+
+def test_large_buckets_are_compared_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(similar, "HOT", 16)
+    monkeypatch.setattr(similar, "ROWS", 64)
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(1 << 62), 1 << 62, (30, similar.WORDS))
+    rows = []
+    for i in range(600):
+        w = base[i % 30].copy()
+        w[rng.integers(similar.WORDS)] ^= (1 << 20) - 1
+        rows.append((int(i % 3 == 0), i, *w.tolist()))
+    t = spark.createDataFrame(rows, ", ".join(f"{k} long" for k in ("slot", "node", *similar._WORDS)))
+    found = similar._meet(t, similar.HOT).collect()
+    assert sum(r["slot"] is not None for r in found) >= 200
+    links = similar._chunked(similar._meet(t, similar.HOT)).collect()
+    root = {r["node"]: r["root"] for r in components.components(spark.createDataFrame([(r["u"], r["v"]) for r in links], "u long, v long")).collect()}
+    least = {}
+    for slot, i, *_ in rows:
+        least.setdefault((slot, i % 30), i)
+    assert all(root.get(i, i) == least[slot, i % 30] for slot, i, *_ in rows)
+
+
+# --- top-k, fingerprints, licences, chats, URLs -----------------------------------
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(400, 6)).round(3)
+    t = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, topk.search(t, every=5).collect()))
+    monkeypatch.setattr(topk, "QUERY_BYTES", 1000)
+    assert sorted(map(tuple, topk.search(t, every=5).collect())) == whole
+    q = np.floor(256 * v).astype(int)
+    for i in range(0, 400, 5):
+        best = sorted(((-(q[i] @ q[j]), j) for j in range(400) if j != i))[:5]
+        assert [(r[1], r[2], r[3]) for r in whole if r[0] == i] == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+
+
+def test_ranges_grow_with_the_input(spark, monkeypatch):
+    rows = [(i, f"text number {i} of many words {i % 7}") for i in range(900)]
+    t = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = sorted(map(tuple, fingerprint.neighbours(t).collect()))
+    monkeypatch.setattr(fingerprint, "TASK_BYTES", 1)
+    assert fingerprint._parts(t) == 14 and sorted(map(tuple, fingerprint.neighbours(t).collect())) == whole
+
+
+def test_passage_at_several_places_of_a_template():
+    s = licenses.Scanner({}, [("t", "a b c d x1 x2 a b c d y1 y2 y3 y4")])
+    assert s.scan(b"a b c d y1 y2 y3 y4")[2] == {}
+    n, _, found = s.scan(b"q a b c d zz a b c d y1 y2 y3 y4 q")
+    assert n == 15 and found == {0: (12 / 14, 1, 13)}
+
+
+def test_words_in_pieces(monkeypatch):
+    text = "Ein Wort, über-all und 12é3  more;words at the end".encode() * 3
+    whole = [*licenses.words(text)]
+    for piece in (1, 2, 3, 7, 1000):
+        monkeypatch.setattr(licenses, "PIECE", piece)
+        assert [*licenses.words(text)] == whole == text.translate(licenses.WORDS).split()
+
+
+def test_log_gives_the_conversation_again(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", t) for i, t in enumerate(["", "a", None, "é😀 long text", "</s>[INST]", "\\l", "xy"])] + [(2, 0, None, "z"), (None, 1, "user", "a"), (None, 1, "user", "a")]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("event", F.lit("own")).withColumn("seq", F.lit(1))
+    log = chats.log_of(t)
+    assert {r["event"] for r in log.select("event").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    back = {r["conv_id"]: [(x["role"], x["text"]) for x in r["turns"]] for r in chats.read_back(chats.format_chats(log)).collect()}
+    assert back[1] == [(r or "", x or "") for c, _, r, x in rows if c == 1] and back[2] == [("", "z")] and back[None] == [("user", "a")] * 2
+    long = spark.createDataFrame([(1, 0, "assistant", "long [text] " * 200_000)], "conv_id long, turn long, role string, text string")
+    assert chats.read_back(chats.format_chats(chats.log_of(long))).first()["loss"] == "long [text] " * 200_000
+
+
+@pytest.mark.parametrize(("host", "path", "want"), [
+    ("a.org", "", "a.org"),
+    ("a.org", "/", "a.org"),
+    ("me:pw@a.org:80", "/x//y/", "a.org/x/y"),
+    ("a.org.:443", "/x", "a.org/x"),
+    ("a.org:8080", "/x", "a.org:8080/x"),
+    ("a.org", "/a/./b/../c", "a.org/a/c"),
+    ("a.org", "/../../c/..", "a.org"),
+    ("a.org", "/a%2fb%41+%c3%a9", "a.org/a%2FbA+é"),
+    ("a.org", "/100%", "a.org/100%"),
+    ("a.org", "/" + "x" * 200_000, "a.org/" + "x" * 200_000),
+])
+def test_canonical(spark, host, path, want):
+    t = spark.createDataFrame([(host, path)], "h string, p string")
+    assert t.select(urls.canonical(F.col("h"), F.col("p"))).first()[0] == want
+
+
+def test_one_hot_key_in_components_and_groups(spark):
+    star = [(0, i) for i in range(1, 3000)]
+    got = components.components(spark.createDataFrame(star, "u long, v long")).collect()
+    assert len(got) == 2999 and {r["root"] for r in got} == {0}
+    t = spark.createDataFrame([(i, "same text in all of these rows" if i % 2 else f"other {i} words here") for i in range(400)], "doc_id long, text string")
+    kept = simhash.keep_one(t, similar.near_copies(t))
+    assert kept.count() == 201
+    assert mixing.mix(t.withColumn("source", F.lit("one"))).count() == 400
