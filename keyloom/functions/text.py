@@ -95,8 +95,7 @@ def char_ngrams(text: Column, n: int) -> Column:
 
 def without_stop_words(words: Column) -> Column:
     """The words that are no stop words, in order, repeats kept."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(words, lambda x: ~F.array_contains(stop, x))
+    return F.filter(words, lambda x: ~x.isin(*STOP_WORDS))
 
 
 def stem(word: Column) -> Column:
@@ -109,6 +108,15 @@ def stem(word: Column) -> Column:
     return out
 
 
+def stem_of(word: str) -> str:
+    """``stem`` of a word that is known when the query is planned."""
+    w = word.lower()
+    for suffix, put in SUFFIXES:
+        if w.endswith(suffix) and len((cut := w[: len(w) - len(suffix)] + put).encode()) >= 2:
+            return cut
+    return w
+
+
 def tags(value: Column) -> Column:
     """Tags of a comma-separated value: trimmed and lower-cased."""
     return F.filter(F.transform(F.split(value, ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")

@@ -183,6 +183,13 @@ def arr_pop(table: DataFrame, path: str, index: int = -1) -> DataFrame:
     return _changed(table, path, lambda x: [y for i, y in enumerate(x) if i != index % len(x)] if isinstance(x, list) and x and -len(x) <= index < len(x) else x)
 
 
+def arr_popped(table: DataFrame, path: str, index: int = -1) -> DataFrame:
+    """``key`` and ``value``, the element (as JSON) that ``arr_pop`` takes; null where there is none."""
+    items = _array(path)
+    at = F.lit(index) if index >= 0 else F.size(items) + index
+    return table.select("key", F.to_json(F.when(at >= 0, F.get(items, at))).alias("value"))
+
+
 def arr_trim(table: DataFrame, path: str, start: int, stop: int) -> DataFrame:
     """Elements start..stop kept; a negative start counts as 0, a negative stop as the end."""
     return _changed(table, path, lambda x: x[max(start, 0) : stop + 1 if stop >= 0 else None] if isinstance(x, list) else x)

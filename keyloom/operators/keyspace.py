@@ -133,9 +133,22 @@ def dump(strings: DataFrame, now: Column) -> DataFrame:
     return strings.select("key", F.concat(F.unhex(F.lit("00")), F.unhex(F.lpad(F.hex(left), 8, "0")), F.col("value").cast("binary")).alias("blob"))
 
 
-def restore(blobs: DataFrame) -> DataFrame:
-    """``key`` and ``value`` of what ``dump`` gave."""
-    return blobs.select("key", F.expr("substring(blob, 6)").alias("value"))
+def restore(blobs: DataFrame, now: Column | None = None, table: DataFrame | None = None, replace: bool = False) -> DataFrame:
+    """``key``, ``value`` and ``expire_at`` of what ``dump`` gave; the deadline begins anew at ``now``.
+
+    With a ``table`` (key, value, expire_at) the result is that table with the
+    restored keys. A key that is there already stays as it is, or is replaced
+    with ``replace``.
+    """
+    left = F.conv(F.hex(F.expr("substring(blob, 2, 4)")), 16, 10).cast("long")
+    at = F.when(left > 0, F.timestamp_millis(F.unix_millis(now) + left)) if now is not None else F.lit(None)
+    new = blobs.select("key", F.expr("substring(blob, 6)").alias("value"), at.cast("timestamp").alias("expire_at"))
+    if table is None:
+        return new
+    old = table.select("key", F.col("value").cast("binary").alias("value"), "expire_at")
+    if replace:
+        return old.join(new.select("key"), "key", "left_anti").unionByName(new)
+    return old.unionByName(new.join(old.select("key").distinct(), "key", "left_anti"))
 
 
 def sort(elements: DataFrame, by: DataFrame | None = None, get: DataFrame | None = None, alpha: bool = False, descending: bool = False, offset: int = 0, limit: int | None = None) -> DataFrame:
@@ -143,17 +156,18 @@ def sort(elements: DataFrame, by: DataFrame | None = None, get: DataFrame | None
 
     ``by`` and ``get`` have columns ``value`` and ``weight`` or ``result``;
     without ``by`` the element itself is the weight, a number unless
-    ``alpha``. Ties go by the element. A limit is one top-k, not a full sort.
+    ``alpha``. Ties go by the element. A limit is one top-k, not a full sort;
+    the results are looked up for what it leaves, and put in order again.
     """
     rows = elements.select("value")
     rows = rows.join(by.select("value", "weight"), "value", "left") if by is not None else rows.withColumn("weight", F.col("value"))
     weight = F.col("weight").cast("string") if alpha else F.col("weight").cast("double")
-    rows = rows.orderBy(weight.desc_nulls_last() if descending else weight.asc_nulls_first(), F.col("value").desc() if descending else F.col("value"))
+    order = (weight.desc_nulls_last() if descending else weight.asc_nulls_first(), F.col("value").desc() if descending else F.col("value"))
     if limit is not None:
-        rows = rows.offset(offset).limit(limit)
+        rows = rows.orderBy(*order).offset(offset).limit(limit)
     if get is not None:
         rows = rows.join(get.select("value", "result"), "value", "left")
-    return rows
+    return rows.orderBy(*order) if limit is None or get is not None else rows
 
 
 def versions(log: DataFrame) -> DataFrame:

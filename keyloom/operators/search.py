@@ -2,9 +2,11 @@
 
 Documents: ``ft_doc (doc_id, ...)``; postings: ``ft_posting (term, doc_id,
 tf, positions)``, one row for each term and document, under the bare term
-and, where asked, under ``field:term``. A boolean query is parsed into a
-tree, whose terms select postings once; the tree is then a boolean column
-over one aggregate by document.
+and, in an index of typed fields, under ``field:term``. An index is kept as
+tables, postings bucketed and sorted by term, so that a query reads a few
+buckets instead of the texts. A boolean query is parsed into a tree, whose
+terms select postings once; the tree is then a boolean column over one
+aggregate by document.
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo as g
 from ..functions import text as t
 
 
@@ -32,6 +35,92 @@ def postings(docs: DataFrame, field: str, stop_words: bool = True, stem: bool =
     return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+#: Kinds of fields of an index.
+KINDS = ("text", "tag", "numeric", "geo")
+
+
+@dataclass(frozen=True)
+class Index:
+    """Tables of an index of typed fields: postings, tags (field, tag, doc_id), numbers (field, value, doc_id), places (field, lon, lat, doc_id)."""
+
+    schema: dict[str, str]
+    docs: DataFrame
+    postings: DataFrame
+    tags: DataFrame
+    numbers: DataFrame
+    places: DataFrame
+
+
+def build(docs: DataFrame, schema: dict[str, str], id_col: str = "doc_id", stop_words: bool = True) -> Index:
+    """An index of the fields in ``schema`` (name to text, tag, numeric or geo; a geo field is a struct of lon and lat).
+
+    Terms of text fields stand under ``field:term`` and, with the counts of
+    all fields added up, under the bare term. Null fields have no entries.
+    """
+    if bad := [k for k in schema.values() if k not in KINDS]:
+        raise ValueError(f"no such kind of field: {bad[0]}")
+    names = {kind: [f for f, k in schema.items() if k == kind] for kind in KINDS}
+    key = F.col(id_col).alias("doc_id")
+    spark = docs.sparkSession
+
+    def union(parts: list[DataFrame], empty: str) -> DataFrame:
+        out = parts[0] if parts else spark.createDataFrame([], empty)
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    per = union([postings(docs, f, stop_words, id_col=id_col).withColumn("field", F.lit(f)) for f in names["text"]], f"term string, doc_id {docs.schema[id_col].dataType.simpleString()}, tf long, positions array<int>, field string")
+    both = per.select(F.explode(F.array(F.col("term"), F.concat_ws(":", "field", "term"))).alias("term"), "doc_id", "tf", "positions") if len(names["text"]) == 1 else per.select(F.concat_ws(":", "field", "term").alias("term"), "doc_id", "tf", "positions").unionByName(per.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.flatten(F.collect_list("positions")).alias("positions")))
+    kind = docs.schema[id_col].dataType.simpleString()
+    tags = union([tag_postings(docs, f, id_col).withColumn("field", F.lit(f)) for f in names["tag"]], f"doc_id {kind}, tag string, field string")
+    numbers = union([docs.where(F.col(f).isNotNull()).select(F.lit(f).alias("field"), F.col(f).cast("double").alias("value"), key) for f in names["numeric"]], f"field string, value double, doc_id {kind}")
+    places = union([docs.where(F.col(f).isNotNull()).select(F.lit(f).alias("field"), F.col(f"{f}.lon").alias("lon"), F.col(f"{f}.lat").alias("lat"), key) for f in names["geo"]], f"field string, lon double, lat double, doc_id {kind}")
+    return Index(schema, docs, both, tags, numbers, places)
+
+
+def keep(index: Index, name: str, buckets: int = 32, id_col: str = "doc_id") -> None:
+    """Write an index as tables ``name__*``: postings bucketed and sorted by term, the others sorted by what they are asked by.
+
+    An index of that name must be dropped before; buckets should grow with
+    the postings, some 128 MB to each.
+    """
+    fields = index.docs.sparkSession.createDataFrame([(id_col, "id"), *index.schema.items()], "field string, kind string")
+    fields.coalesce(1).write.saveAsTable(f"{name}__fields")
+    index.postings.write.bucketBy(buckets, "term").sortBy("term").saveAsTable(f"{name}__postings")
+    index.tags.sortWithinPartitions("field", "tag").write.saveAsTable(f"{name}__tags")
+    index.numbers.sortWithinPartitions("field", "value").write.saveAsTable(f"{name}__numbers")
+    index.places.sortWithinPartitions("field", "lon").write.saveAsTable(f"{name}__places")
+    index.docs.write.saveAsTable(f"{name}__docs")
+
+
+_TABLES = ("fields", "postings", "tags", "numbers", "places", "docs")
+
+
+def opened(spark: SparkSession, name: str) -> Index:
+    """The kept index of a name."""
+    t = {k: spark.table(f"{name}__{k}") for k in _TABLES}
+    schema = {r["field"]: r["kind"] for r in t["fields"].where("kind <> 'id'").collect()}
+    return Index(schema, t["docs"], t["postings"], t["tags"], t["numbers"], t["places"])
+
+
+def drop(spark: SparkSession, name: str) -> None:
+    """Drop a kept index with its tables; none of that name is no error."""
+    for k in _TABLES:
+        spark.sql(f"drop table if exists {name}__{k}")
+
+
+def indexes(spark: SparkSession) -> list[str]:
+    """Names of the kept indexes, in order."""
+    return sorted(t.name.removesuffix("__fields") for t in spark.catalog.listTables() if t.name.endswith("__fields"))
+
+
+def without(index: Index, gone: DataFrame, id_col: str = "doc_id") -> Index:
+    """The index without some documents (column ``doc_id``)."""
+    ids = gone.select("doc_id").distinct()
+    rest = [t.join(ids, "doc_id", "left_anti") for t in (index.postings, index.tags, index.numbers, index.places)]
+    return Index(index.schema, index.docs.join(ids.withColumnRenamed("doc_id", id_col), id_col, "left_anti"), *rest)
+
+
 def tag_postings(docs: DataFrame, field: str, id_col: str = "doc_id") -> DataFrame:
     """Tags (comma-separated values) of a field: ``tag``, ``doc_id``."""
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(t.tags(F.coalesce(F.col(field), F.lit("")))).alias("tag")).distinct()
@@ -44,7 +133,7 @@ def term_stats(posting: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Node:
-    """A node of a query: term, prefix, tag (with field), and, or, not."""
+    """A node of a query: term, prefix, tag (with field), range (of numbers), place, and, or, not."""
 
     kind: str
     value: str = ""
@@ -55,9 +144,11 @@ def parse(query: str) -> Node:
     """A boolean query: words side by side are joined by and, ``|`` is or, ``-`` or NOT is not.
 
     A part is a word, ``word*``, ``"a phrase"`` (all its words),
-    ``@field:word``, ``@field:{tag}`` or a query in parentheses.
+    ``@field:word``, ``@field:{tag}``, ``@field:[low high]`` (numbers, -inf,
+    +inf, or with ``(`` before one that is left out), ``@field:[lon lat radius
+    unit]`` or a query in parentheses.
     """
-    items = re.findall(r'@\w+:\{[^}]*\}|@\w+:|"[^"]*"|[()|-]|[^\s()|"@{}-]+', query)
+    items = re.findall(r'@\w+:\{[^}]*\}|@\w+:\[[^\]]*\]|@\w+:|"[^"]*"|[()|-]|[^\s()|"@{}-]+', query)
     at = 0
 
     def peek() -> str:
@@ -102,6 +193,11 @@ def parse(query: str) -> Node:
             return inside
         if m := re.fullmatch(r"@(\w+):\{([^}]*)\}", item):
             return Node("tag", f"{m[1]}:{m[2].strip().lower()}")
+        if m := re.fullmatch(r"@(\w+):\[([^\]]*)\]", item):
+            parts = m[2].split()
+            if len(parts) not in (2, 4):
+                raise ValueError(f"not a range or place: {item}")
+            return Node("range" if len(parts) == 2 else "place", f"{m[1]}:{' '.join(parts)}")
         if m := re.fullmatch(r"@(\w+):", item):
             return single(f"{m[1]}:")
         if item.startswith('"'):
@@ -134,7 +230,45 @@ def _truth(node: Node, leaf: dict[Node, Column]) -> Column:
     return leaf.get(node, F.lit(node.kind == "and"))
 
 
-def matching(docs: DataFrame, posting: DataFrame, query: str | Node, tags: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+def _number(x: str) -> tuple[float, bool]:
+    return float(x.removeprefix("(")), x.startswith("(")
+
+
+def _holds(node: Node) -> Column:
+    """Whether a row of numbers or places is in a range or near a place."""
+    name, _, rest = node.value.partition(":")
+    parts = rest.split()
+    if node.kind == "range":
+        (low, above), (high, below) = _number(parts[0]), _number(parts[1])
+        value = F.col("value")
+        return (F.col("field") == name) & (value > low if above else value >= low) & (value < high if below else value <= high)
+    lon, lat, metres = float(parts[0]), float(parts[1]), float(parts[2]) * g.UNITS[parts[3].lower()]
+    return (F.col("field") == name) & g.near_box(F.col("lon"), F.col("lat"), lon, lat, metres) & (g.distance(F.lit(lon), F.lit(lat), F.col("lon"), F.col("lat")) <= metres)
+
+
+def stemmed(node: Node, known: set[str]) -> Node:
+    """The query with each word that no document has replaced by its stem, where that is a term (``known``)."""
+    if node.parts:
+        return Node(node.kind, node.value, tuple(stemmed(p, known) for p in node.parts))
+    if node.kind != "term" or node.value in known:
+        return node
+    field, colon, word = node.value.rpartition(":")
+    cut = f"{field}{colon}{t.stem_of(word)}"
+    return Node("term", cut) if cut in known else node
+
+
+def ask(index: Index, query: str, stem: bool = False, id_col: str = "doc_id") -> DataFrame:
+    """Ids of an index's documents for which a query holds; with ``stem`` words without documents are tried by their stem."""
+    tree = parse(query)
+    if stem:
+        words = [x.value for x in _leaves(tree) if x.kind == "term"]
+        tried = sorted({*words, *(f"{w.rpartition(':')[0]}{w.rpartition(':')[1]}{t.stem_of(w.rpartition(':')[2])}" for w in words)})
+        known = {r["term"] for r in index.postings.where(F.col("term").isin(tried)).select("term").distinct().collect()}
+        tree = stemmed(tree, known)
+    return matching(index.docs, index.postings, tree, index.tags, id_col, index.numbers, index.places)
+
+
+def matching(docs: DataFrame, posting: DataFrame, query: str | Node, tags: DataFrame | None = None, id_col: str = "doc_id", numbers: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
     """Ids of the documents for which a query holds.
 
     Postings of all leaves are read once and aggregated by document; a query
@@ -159,6 +293,16 @@ def matching(docs: DataFrame, posting: DataFrame, query: str | Node, tags: DataF
         names = {x: x.value if "field" in tags.columns else x.value.partition(":")[2] for x in marked}
         own = tags.where(value.isin(list(names.values()))).select("doc_id", *[(value == names[x]).alias(f"_{i}") if x in names else F.lit(False).alias(f"_{i}") for i, x in enumerate(leaves)])
         rows = own if rows is None else rows.unionByName(own)
+    for kind, table in (("range", numbers), ("place", places)):
+        held = {x: _holds(x) for x in leaves if x.kind == kind}
+        if held:
+            if table is None:
+                raise ValueError(f"the query has a {kind}, but there is no such table")
+            some = F.lit(False)
+            for h in held.values():
+                some = some | h
+            own = table.where(some).select("doc_id", *[held[x].alias(f"_{i}") if x in held else F.lit(False).alias(f"_{i}") for i, x in enumerate(leaves)])
+            rows = own if rows is None else rows.unionByName(own)
     if rows is None:
         return docs.limit(0).select(F.col(id_col).alias("doc_id"))
     by_doc = rows.groupBy("doc_id").agg(*[F.max(f"_{i}").alias(f"_{i}") for i in range(len(leaves))])
@@ -206,6 +350,24 @@ def search(docs: DataFrame, posting: DataFrame, query: str, tags: DataFrame | No
     return out if limit <= 0 else out.orderBy(F.col("score").desc(), "doc_id").offset(offset).limit(limit)
 
 
+def search_index(index: Index, query: str, sort_by: str | None = None, descending: bool = False, returned: list[str] | None = None, offset: int = 0, limit: int = 0, stem: bool = False, id_col: str = "doc_id") -> DataFrame:
+    """Matching documents of an index with their score and the fields asked for.
+
+    Ordered by a field (``sort_by``; nulls last, ties by id), else by score,
+    where a limit is given.
+    """
+    out = scored(index.docs, index.postings, ask(index, query, stem, id_col), query_words(re.sub(r"@\w+:(\{[^}]*\}|\[[^\]]*\])?", " ", query)), id_col)
+    fields = list(dict.fromkeys([*(returned or []), *([sort_by] if sort_by else [])]))
+    if fields:
+        out = out.join(index.docs.select(F.col(id_col).alias("doc_id"), *[f for f in fields if f != "doc_id"]), "doc_id")
+    key = F.col(sort_by) if sort_by else F.col("score")
+    if limit > 0:
+        out = out.orderBy(key.desc_nulls_last() if descending or not sort_by else key.asc_nulls_last(), "doc_id").offset(offset).limit(limit)
+    elif sort_by:
+        out = out.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "doc_id")
+    return out.select("doc_id", "score", *[f for f in returned or [] if f != "doc_id"])
+
+
 _REDUCE = {"count": lambda c: F.count("*"), "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "tolist": lambda c: F.array_sort(F.collect_list(c))}
 
 
@@ -223,14 +385,31 @@ def suggest(posting: DataFrame, prefix: str, limit: int = 5) -> DataFrame:
     return posting.where(F.col("term").startswith(prefix)).select("term").distinct().orderBy("term").limit(limit)
 
 
-def spell_check(posting: DataFrame, words: list[str], distance: int = 1, limit: int = 5) -> DataFrame:
+def sug_add(table: DataFrame, rows: DataFrame, increase: bool = False) -> DataFrame:
+    """Suggestions (key, term, score) with more rows (key, term, score), that replace those of the term or raise its score (INCR)."""
+    if increase:
+        return table.unionByName(rows).groupBy("key", "term").agg(F.sum("score").alias("score"))
+    new = rows.groupBy("key", "term").agg(F.max("score").alias("score"))
+    return table.join(new, ["key", "term"], "left_anti").unionByName(new)
+
+
+def sug_get(table: DataFrame, key: str, prefix: str, limit: int = 5) -> DataFrame:
+    """The best suggestions with a prefix, upper and lower case alike, by score and term."""
+    return table.where((F.col("key") == key) & F.lower("term").startswith(prefix.lower())).select("term", "score").orderBy(F.col("score").desc(), "term").limit(limit)
+
+
+def spell_check(posting: DataFrame, words: list[str], distance: int = 1, limit: int = 5, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
     """For words that are no terms, up to so many terms within an edit distance, by distance, frequency and term.
 
     Terms of too different a length are left out before the distance is made.
+    The terms of ``include`` (term) count as terms too, with no document; those
+    of ``exclude`` are not proposed (TERMS INCLUDE and EXCLUDE).
     """
-    from pyspark.sql import Window
-
     terms = posting.groupBy("term").agg(F.count("*").alias("df"))
+    if include is not None:
+        terms = terms.unionByName(include.select("term", F.lit(0).cast("long").alias("df"))).groupBy("term").agg(F.max("df").alias("df"))
+    if exclude is not None:
+        terms = terms.join(exclude.select("term").distinct(), "term", "left_anti")
     asked = posting.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w.lower()) for w in dict.fromkeys(words)])).alias("word"))
     unknown = asked.join(terms.where(F.col("term").isin([w.lower() for w in words])), F.col("word") == F.col("term"), "left_anti")
     near = terms.join(F.broadcast(unknown), F.abs(F.length("word") - F.length("term")) <= distance).withColumn("distance", F.levenshtein("word", "term", distance)).where(F.col("distance") >= 0)
@@ -258,6 +437,11 @@ def syn_update(table: DataFrame, group: str, terms: list[str]) -> DataFrame:
     return table.where(F.col("grp") != group).select("grp", "term").union(rows).distinct()
 
 
+def syn_dump(table: DataFrame) -> DataFrame:
+    """``term`` and ``groups``, the groups it is in, in order."""
+    return table.groupBy("term").agg(F.array_sort(F.collect_set("grp")).alias("groups"))
+
+
 def syn_expand(synonyms: DataFrame, words: list[str]) -> DataFrame:
     """The words and all terms of groups they are in."""
     spark = synonyms.sparkSession

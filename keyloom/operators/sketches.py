@@ -1,17 +1,23 @@
 """Sketches: approximate counts, membership, heavy hitters and quantiles.
 
-Sketches with a built-in aggregate use it; Bloom filter, count-min sketch and
-multiset (for the cuckoo filter's operations) are tables of positions or
-counts, so that they are built, merged and probed by aggregates and joins.
+Sketches with a built-in aggregate use it; Bloom filter, cuckoo filter and
+count-min sketch are tables of positions or counts, so that they are built,
+merged and probed by aggregates and joins. A t-digest is a table of centroids,
+of which each task makes its own and which are merged by key.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bits import byte_values
+
 #: Registers of a distinct-count sketch, as a power of two.
 REGISTERS = 14
 
@@ -76,6 +82,61 @@ def cf_exists(counts: DataFrame, asked: DataFrame, item: str = "item") -> DataFr
     return asked.select("key", item).join(counts, ["key", item], "left").select("key", item, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def bf_dump(bloom: DataFrame) -> DataFrame:
+    """Filters as chunks (``key``, ``chunk``, ``bits``) of 32,768 bits (SCANDUMP)."""
+    return bloom.groupBy("key", F.expr("bitmap_bucket_number(bit + 1)").alias("chunk")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits"))
+
+
+def bf_load(chunks: DataFrame) -> DataFrame:
+    """Filters from their chunks (LOADCHUNK); chunks loaded twice do no harm."""
+    byte = F.posexplode(F.filter(F.transform(byte_values(F.col("bits")), lambda b, i: F.struct(i.alias("i"), b.alias("b"))), lambda x: x["b"] != 0)).alias("_n", "_x")
+    rows = chunks.select("key", "chunk", byte).select("key", ((F.col("chunk") - 1) * 32_768 + F.col("_x.i") * 8).alias("_at"), F.col("_x.b").alias("_b"))
+    places = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.getbit(F.col("_b"), k) == 1)
+    return rows.select("key", F.explode(F.transform(places, lambda k: F.col("_at") + k)).alias("bit")).distinct()
+
+
+def cf_size(capacity: int) -> int:
+    """Buckets of a cuckoo filter: a power of two with room for four fingerprints each."""
+    return 1 << max(0, math.ceil(math.log2(max(1, capacity) / 4)))
+
+
+def _fingerprint(item: Column, buckets: int) -> list[Column]:
+    h = F.xxhash64(item.cast("string"), F.lit("cuckoo"))
+    return [F.pmod(h, F.lit(buckets)).alias("bucket"), (F.shiftrightunsigned(h, 32) % 65_535 + 1).alias("mark")]
+
+
+def cf_add(log: DataFrame, buckets: int, item: str = "item") -> DataFrame:
+    """Cuckoo filters (``key``, ``bucket``, ``mark``, ``n``) from a log with ``delta``: 1 adds an item, -1 deletes one.
+
+    A bucket is no cell of fixed room but rows of a table, so that no mark is
+    ever moved and none is refused. Marks have 16 bits: two items in a bucket
+    are taken for each other once in 65,535 times.
+    """
+    return log.select("key", *_fingerprint(F.col(item), buckets), "delta").groupBy("key", "bucket", "mark").agg(F.sum("delta").alias("n")).where(F.col("n") > 0)
+
+
+def cf_addnx(table: DataFrame, rows: DataFrame, buckets: int, item: str = "item") -> DataFrame:
+    """The filters with items that they do not seem to hold yet, each once."""
+    new = rows.select("key", *_fingerprint(F.col(item), buckets)).distinct().join(table, ["key", "bucket", "mark"], "left_anti")
+    return table.unionByName(new.withColumn("n", F.lit(1).cast("long")))
+
+
+def cf_count(table: DataFrame, asked: DataFrame, buckets: int, item: str = "item") -> DataFrame:
+    """The rows asked (key, item) with ``n``, how often the filter seems to hold the item: never less than it does."""
+    probe = asked.select("key", item, *_fingerprint(F.col(item), buckets))
+    return probe.join(table, ["key", "bucket", "mark"], "left").select("key", item, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def cf_dump(table: DataFrame, buckets_each: int = 4096) -> DataFrame:
+    """Filters as chunks (``key``, ``chunk``, ``data``) of so many buckets (SCANDUMP)."""
+    return table.groupBy("key", F.floor(F.col("bucket") / buckets_each).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("bucket", "mark", "n"))).alias("data"))
+
+
+def cf_load(chunks: DataFrame) -> DataFrame:
+    """Filters from their chunks (LOADCHUNK)."""
+    return chunks.dropDuplicates(["key", "chunk"]).select("key", F.inline("data"))
+
+
 def cms_size(error: float, confidence: float) -> tuple[int, int]:
     """Width and depth of a count-min sketch."""
     return math.ceil(math.e / error), math.ceil(math.log(1 / (1 - confidence)))
@@ -129,6 +190,67 @@ def quantiles(rows: DataFrame, qs: list[float], value: str = "value", exact: boo
     return rows.groupBy("key").agg(*cols)
 
 
+def digest(rows: DataFrame, value: str = "value", compression: int = 100) -> DataFrame:
+    """t-digests (``key``, ``mean``, ``weight``, ``min``, ``max``): centroids of the values of each key.
+
+    Each task keeps one digest for each key it meets, of at most twice
+    ``compression`` centroids and a buffer; only centroids are shuffled.
+    Null and NaN values are left out.
+    """
+    schema = rows.select("key").schema.add("mean", "double").add("weight", "double").add("min", "double").add("max", "double")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[object, tuple[np.ndarray, np.ndarray, float, float]] = {}
+        for p in batches:
+            p = p.dropna(subset=["value"])
+            for key, part in p.groupby("key", dropna=False)["value"]:
+                x = part.to_numpy(float)
+                mean, weight, low, high = held.get(key, (np.empty(0), np.empty(0), np.inf, -np.inf))
+                mean, weight = squeeze(np.concatenate([mean, x]), np.concatenate([weight, np.ones(len(x))]), compression)
+                held[key] = (mean, weight, min(low, x.min()), max(high, x.max()))
+        for key, (mean, weight, low, high) in held.items():
+            yield pd.DataFrame({"key": [key] * len(mean), "mean": mean, "weight": weight, "min": low, "max": high})
+
+    return digest_merge(rows.select("key", F.col(value).cast("double").alias("value")).mapInPandas(run, schema), compression)
+
+
+def squeeze(mean: np.ndarray, weight: np.ndarray, compression: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids merged so that each spans at most one step of the scale, which is finest at both ends."""
+    order = np.argsort(mean, kind="stable")
+    mean, weight = mean[order], weight[order]
+    middle = (np.cumsum(weight) - weight / 2) / weight.sum()
+    cell = np.floor(compression * (np.arcsin(2 * np.clip(middle, 0, 1) - 1) / np.pi + 0.5)).astype(int)
+    start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    total = np.add.reduceat(weight, start)
+    return np.add.reduceat(mean * weight, start) / total, total
+
+
+def digest_merge(digests: DataFrame, compression: int = 100) -> DataFrame:
+    """Digests of equal key as one."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        mean, weight = squeeze(p["mean"].to_numpy(), p["weight"].to_numpy(), compression)
+        return pd.DataFrame({"key": [p["key"].iloc[0]] * len(mean), "mean": mean, "weight": weight, "min": p["min"].min(), "max": p["max"].max()})
+
+    return digests.groupBy("key").applyInPandas(run, digests.schema)
+
+
+def digest_quantile(digests: DataFrame, qs: list[float]) -> DataFrame:
+    """Quantiles ``q0``, ``q1`` ... of each digest, between the middles of its centroids by straight lines, and its extremes at the ends."""
+    w = Window.partitionBy("key").orderBy("mean", "weight")
+    at = (F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight") / 2) / F.sum("weight").over(Window.partitionBy("key"))
+    rows = digests.withColumn("_at", at)
+    rows = rows.withColumns({"_before": F.coalesce(F.lag("_at").over(w), F.lit(0.0)), "_from": F.coalesce(F.lag("mean").over(w), F.col("min"))})
+    cols = []
+    for i, q in enumerate(qs):
+        inside = (F.col("_before") <= q) & (F.col("_at") > q)
+        value = F.col("_from") + (F.col("mean") - F.col("_from")) * (q - F.col("_before")) / (F.col("_at") - F.col("_before"))
+        last = F.max(F.struct("_at", "mean", "max"))
+        end = last["mean"] + (last["max"] - last["mean"]) * (q - last["_at"]) / F.greatest(1 - last["_at"], F.lit(1e-12))
+        cols.append(F.coalesce(F.max(F.when(inside, value)), end).alias(f"q{i}"))
+    return rows.groupBy("key").agg(*cols)
+
+
 def cdf(rows: DataFrame, x: float, value: str = "value") -> DataFrame:
     """Share of the values of each key that are at most x."""
     return rows.groupBy("key").agg(F.avg(F.when(F.col(value) <= x, 1.0).otherwise(0.0)).alias("cdf"))

@@ -30,6 +30,14 @@ def accepted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_top", F.max(at).over(before)).where(F.col("_top").isNull() | (at > F.col("_top"))).drop("_top")
 
 
+def xadd_to(table: DataFrame, rows: DataFrame, maxlen: int | None = None, minid: str | None = None, only_existing: bool = False) -> DataFrame:
+    """The streams with more entries, then trimmed to a length or a least id; ``only_existing`` makes no new stream (NOMKSTREAM)."""
+    new = rows.join(table.select("key").distinct(), "key", "left_semi") if only_existing else rows
+    out = table.unionByName(new.select(*table.columns))
+    out = out if minid is None else xtrim_minid(out, minid)
+    return out if maxlen is None else xtrim_maxlen(out, maxlen)
+
+
 def xlen(table: DataFrame) -> DataFrame:
     return table.groupBy("key").agg(F.count("*").alias("n"))
 
@@ -81,19 +89,38 @@ def xtrim_minid(table: DataFrame, least: str) -> DataFrame:
     return table.where(id_between(least, "+"))
 
 
-def xreadgroup(table: DataFrame, groups: DataFrame, consumer: str, now: Column, count: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New entries for a consumer of each group, the pending rows they make, and the groups with their cursor at the last entry given."""
+def xreadgroup(table: DataFrame, groups: DataFrame, consumer: str, now: Column, count: int | None = None, noack: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New entries for a consumer of each group, the pending rows they make, and the groups with their cursor at the last entry given.
+
+    With ``noack`` the entries count as acknowledged and make no pending rows.
+    """
     g = groups.select("key", "grp", "last_ms", "last_seq")
     later = (F.col("ms") > F.col("last_ms")) | ((F.col("ms") == F.col("last_ms")) & (F.col("seq") > F.col("last_seq")))
     rows = table.join(g, "key").where(later).withColumn("rank", F.row_number().over(Window.partitionBy("key", "grp").orderBy(*ID)))
     rows = rows if count is None else rows.where(F.col("rank") <= count)
     given = rows.drop("last_ms", "last_seq")
-    pending = given.select("key", "grp", *ID, F.lit(consumer).alias("consumer"), now.alias("delivered_at"), F.lit(1).alias("deliveries"))
+    pending = given.select("key", "grp", *ID, F.lit(consumer).alias("consumer"), now.alias("delivered_at"), F.lit(1).alias("deliveries")).where(F.lit(not noack))
     top = given.groupBy("key", "grp").agg(F.max(F.struct(*ID)).alias("_x"))
     moved = g.join(top, ["key", "grp"], "left").select("key", "grp", F.coalesce("_x.ms", "last_ms").alias("last_ms"), F.coalesce("_x.seq", "last_seq").alias("last_seq"))
     return given, pending, moved
 
 
+def xread_pending(table: DataFrame, pending: DataFrame, consumer: str, after: str = "0", count: int | None = None) -> DataFrame:
+    """Entries that are pending for a consumer in each group, above an id: those read but not acknowledged, once more."""
+    ms, seq = _id(after, True)
+    own = pending.where((F.col("consumer") == consumer) & ((F.col("ms") > ms) | ((F.col("ms") == ms) & (F.col("seq") > seq))))
+    rows = table.join(own.select("key", "grp", *ID, "deliveries"), ["key", *ID])
+    rank = F.row_number().over(Window.partitionBy("key", "grp").orderBy(*ID))
+    rows = rows.withColumn("rank", rank)
+    return rows if count is None else rows.where(F.col("rank") <= count)
+
+
+def consumer_create(consumers: DataFrame, key: str, grp: str, consumer: str) -> DataFrame:
+    """The consumers (key, grp, consumer) with one more; one that is there stays alone."""
+    row = consumers.sparkSession.range(1).select(F.lit(key).alias("key"), F.lit(grp).alias("grp"), F.lit(consumer).alias("consumer"))
+    return consumers.select("key", "grp", "consumer").union(row).distinct()
+
+
 def xack(pending: DataFrame, ids: DataFrame) -> DataFrame:
     return pending.join(ids.select("key", "grp", *ID).distinct(), ["key", "grp", *ID], "left_anti")
 

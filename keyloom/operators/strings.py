@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,26 @@ def first_write(log: DataFrame, *keys: str) -> DataFrame:
     return log.groupBy(*keys).agg(F.min_by(F.struct(*names), "seq").alias("_x")).select(*keys, *[F.col(f"_x.{c}").alias(c) for c in names])
 
 
+def set_ex(log: DataFrame) -> DataFrame:
+    """``key``, ``value`` and ``expire_at`` after writes with deadlines (SET EX, PX, KEEPTTL, SETEX, PSETEX).
+
+    The log has ``seq``, ``at`` (time of the write), ``ttl_ms`` (null: none,
+    which drops an earlier deadline) and, where asked, ``keep`` (true: the
+    earlier deadline stays). One aggregate: writes are combined before the
+    shuffle.
+    """
+    keep = F.coalesce("keep", F.lit(False)) if "keep" in log.columns else F.lit(False)
+    deadline = F.struct(F.timestamp_millis(F.unix_millis("at") + F.col("ttl_ms")).alias("t"))
+    last = log.groupBy("key").agg(F.max_by(F.struct("value"), "seq").alias("_v"), F.max_by(deadline, F.when(~keep, F.col("seq"))).alias("_d"))
+    return last.select("key", F.col("_v.value").alias("value"), F.col("_d.t").alias("expire_at"))
+
+
+def set_xx(strings: DataFrame, writes: DataFrame) -> DataFrame:
+    """The table (key, value) with the last write (key, value, seq) of each key that it has already (SET XX)."""
+    last = last_write(writes, "key").select("key", F.struct("value").alias("_new"))
+    return strings.join(last, "key", "left").withColumn("value", F.when(F.col("_new").isNotNull(), F.col("_new.value")).otherwise(F.col("value"))).drop("_new")
+
+
 def get(strings: DataFrame, key: str) -> DataFrame:
     return strings.where(F.col("key") == key).select("value")
 
@@ -63,7 +84,7 @@ def msetnx(strings: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def counters(log: DataFrame, delta: str = "delta") -> DataFrame:
-    """Sum of the changes of each key (INCR, INCRBY, DECR, DECRBY, INCRBYFLOAT)."""
+    """Sum of the changes of each key (INCR, INCRBY, DECR, DECRBY, INCRBYFLOAT); whole numbers beyond 64 bits are an error."""
     return log.groupBy("key").agg(F.sum(delta).alias("value"))
 
 
@@ -129,8 +150,23 @@ def bitcount(strings: DataFrame, start: int | None = None, stop: int = -1, by_bi
     return strings.select("key", n.cast("long").alias("n"))
 
 
-def bitpos(strings: DataFrame, bit: int) -> DataFrame:
-    return strings.select("key", bits.bit_position(F.col("value").cast("binary"), bit).alias("pos"))
+def bitpos(strings: DataFrame, bit: int, start: int | None = None, stop: int = -1) -> DataFrame:
+    """First offset of a bit in each value, or in an inclusive range of its bytes; -1 where there is none."""
+    value = F.col("value").cast("binary")
+    if start is None:
+        return strings.select("key", bits.bit_position(value, bit).alias("pos"))
+    first, size = strict_range(F.octet_length(value), start, stop)
+    at = bits.bit_position(F.substring(value, (first + 1).cast("int"), size.cast("int")), bit)
+    return strings.select("key", F.when(first.isNull() | (at < 0), -1).otherwise(at + first * 8).cast("long").alias("pos"))
+
+
+def bitmap_pos(offsets: DataFrame, bit: int = 1) -> DataFrame:
+    """First offset of a bit of each key, from its set offsets (``key``, ``off``)."""
+    if bit:
+        return offsets.groupBy("key").agg(F.min("off").alias("pos"))
+    ranked = offsets.distinct().withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("off")) - 1)
+    run = F.sum(F.when(F.col("off") == F.col("_n"), 1).otherwise(0))
+    return ranked.groupBy("key").agg(run.cast("long").alias("pos"))
 
 
 def bitop(offsets: DataFrame, op: str, sources: list[str]) -> DataFrame:
@@ -149,12 +185,14 @@ def lcs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
 
     def one(x: bytes, y: bytes) -> bytes:
-        rows = [[0] * (len(y) + 1)]
+        other = np.frombuffer(y, np.uint8)
+        rows = [np.zeros(len(y) + 1, np.int32)]
         for c in x:
-            last, row = rows[-1], [0]
-            for j, d in enumerate(y):
-                row.append(last[j] + 1 if c == d else max(last[j + 1], row[j]))
-            rows.append(row)
+            last = rows[-1]
+            # A match adds 1 to what ends before it; between matches the largest so far goes on.
+            row = last.copy()
+            row[1:] = np.maximum(row[1:], np.where(other == c, last[:-1] + 1, 0))
+            rows.append(np.maximum.accumulate(row))
         i, j, out = len(x), len(y), bytearray()
         while i and j:
             if x[i - 1] == y[j - 1]:

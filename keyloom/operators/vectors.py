@@ -1,12 +1,16 @@
-"""Operators on vectors: table ``kv_vec (id, embedding)``; sums are made in double precision, in order."""
+"""Operators on vectors: table ``kv_vec (id, embedding)``, other columns are metadata; sums are made in double precision."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that may be broadcast to all tasks.
-BROADCAST_QUERIES = 10_000
+#: Bytes of query vectors that are sent to all tasks at once; more queries take more passes.
+QUERY_BYTES = 16 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,26 +41,85 @@ def score(a: Column, b: Column, metric: str) -> Column:
 
 
 def vsadd(log: DataFrame, dimension: int) -> DataFrame:
-    """Last vector of each id of a log with ``seq``, those of another dimension refused."""
+    """Last vector of each id of a log with ``seq``, with its metadata; those of another dimension are refused."""
     from .strings import last_write
 
     return last_write(log.where(F.size("embedding") == dimension), "id")
 
 
+def vsget(table: DataFrame, ids: list[int]) -> DataFrame:
+    """Vectors and metadata of some ids."""
+    return table.where(F.col("id").isin(ids))
+
+
+def vsdel(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The table without some ids."""
+    return table.join(ids.select("id").distinct(), "id", "left_anti")
+
+
 def vssearch(table: DataFrame, query: list[float], k: int = 10, metric: str = "cosine") -> DataFrame:
     """The k best ids for one vector: a top-k in each task, merged; ties by id."""
     q = F.array(*[F.lit(float(x)) for x in query])
     return table.select("id", score(F.col("embedding"), q, metric).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
 
-def vsquery(table: DataFrame, ids: list[int], k: int = 10, metric: str = "cosine") -> DataFrame:
-    """The k best other ids for each of some stored vectors."""
-    if len(ids) > BROADCAST_QUERIES:
-        raise ValueError("too many queries for one call")
-    q = table.where(F.col("id").isin(ids)).select(F.col("id").alias("query_id"), F.col("embedding").alias("_q"))
-    pairs = table.join(F.broadcast(q), F.col("id") != F.col("query_id")).select("query_id", "id", score(F.col("embedding"), F.col("_q"), metric).alias("score"))
+def vsquery(table: DataFrame, ids: list[int] | DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
+    """The k best other ids for each of some stored vectors (a list, or a table of ``id``); ties by id.
+
+    Queries pass over the table in blocks of at most QUERY_BYTES. A block is
+    sent to all tasks, which score Arrow batches as a matrix product and keep
+    the k best of each query; only those are shuffled. Vectors meet those of
+    their own length; null vectors and ids take no part.
+    """
+    valid = table.where(F.col("id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    queries = valid.where(F.col("id").isin(ids)) if isinstance(ids, list) else valid.join(ids.select(F.col("id").cast("long").alias("id")).distinct(), "id", "left_semi")
+    out = None
+    for width, n in sorted((r["w"], r["n"]) for r in queries.groupBy(F.size("embedding").alias("w")).agg(F.count("*").alias("n")).collect()):
+        blocks = -(-n * 8 * max(width, 1) // QUERY_BYTES)
+        for block in range(blocks):
+            own = queries.where((F.size("embedding") == width) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)).toArrow()
+            if own.num_rows:
+                found = _best(valid.where(F.size("embedding") == width), own, width, k, metric.lower())
+                out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = table.sparkSession.createDataFrame([], "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten(), np.float64).reshape(-1, width)
+
+
+def _best(table: DataFrame, queries: pa.Table, width: int, k: int, metric: str) -> DataFrame:
+    """Each task's k best (query_id, id, score) of the queries."""
+    sent = table.sparkSession.sparkContext.broadcast((queries.column("id").to_numpy(), _matrix(queries.column("embedding"), width)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = sent.value
+        q_size = np.sqrt((q * q).sum(axis=1))
+        best, names = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, x = b.column(0).to_numpy(), _matrix(b.column(1), width)
+            for at in range(0, len(ids), 1024):
+                some, rows = ids[at : at + 1024], x[at : at + 1024]
+                s = q @ rows.T
+                if metric == "cosine":
+                    size = q_size[:, None] * np.sqrt((rows * rows).sum(axis=1))[None, :]
+                    s = np.divide(s, size, out=np.zeros_like(s), where=size != 0)
+                elif metric == "euclidean":
+                    s = -np.sqrt(np.maximum(((q * q).sum(axis=1))[:, None] - 2 * s + ((rows * rows).sum(axis=1))[None, :], 0))
+                s[q_ids[:, None] == some[None, :]] = -np.inf
+                both = np.concatenate([best, s], axis=1)
+                whose = np.concatenate([names, np.broadcast_to(some, s.shape)], axis=1)
+                top = np.lexsort((whose, -both), axis=1)[:, :k]
+                best, names = np.take_along_axis(both, top, 1), np.take_along_axis(whose, top, 1)
+        at = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[at[0]]), pa.array(names[at]), pa.array(best[at])], names=["query_id", "id", "score"])
+
+    return table.mapInArrow(run, "query_id long, id long, score double")
 
 
 def vsrange(table: DataFrame, query: list[float], metric: str, threshold: float) -> DataFrame:

@@ -107,7 +107,7 @@ def _offsets(s: SparkSession, d: str) -> DataFrame:
 
 _add("bitcount", lambda s, d: strings.bitmap(_offsets(s, d)).groupBy("key").agg(F.sum(F.expr("bitmap_count(bits)")).alias("n")), "select event_type as key, count(distinct user_id)::bigint as n from events group by 1")
 _add("bitop_and", lambda s, d: strings.bitop(_offsets(s, d), "and", ["click", "view", "purchase"]), "select user_id as off from events where event_type in ('click', 'view', 'purchase') group by 1 having count(distinct event_type) = 3")
-_add("bitpos", lambda s, d: _offsets(s, d).groupBy("key").agg(F.min("off").alias("pos")), "select event_type as key, min(user_id) as pos from events group by 1")
+_add("bitpos", lambda s, d: strings.bitmap_pos(_offsets(s, d)), "select event_type as key, min(user_id) as pos from events group by 1")
 _add("getbit", lambda s, d: strings.getbit(src.table(s, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("value")), 9), "select p_partkey as key, case when len(p_name) > 1 then (ascii(substr(p_name, 2, 1)) >> 1) & 1 else 0 end::int as bit from part")
 _add("setbit", lambda s, d: strings.setbit(src.table(s, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("value")), 0, 1).select("key", "old", F.col("value").cast("string").alias("value")), "select p_partkey as key, (ascii(p_brand) & 1)::int as old, chr(ascii(p_brand) | 1) || substr(p_brand, 2) as value from part")
 _add("bitcount_bytes", lambda s, d: strings.bitcount(src.table(s, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("value")), 0, 2), "select p_partkey as key, (bit_count(ascii(p_brand)) + bit_count(ascii(substr(p_brand, 2, 1))) + bit_count(ascii(substr(p_brand, 3, 1))))::bigint as n from part")
@@ -144,8 +144,6 @@ _add("httl", lambda s, d: hashes.httl(hashes.hexpire(_hash(s, d).withColumn("fie
 _LIST = """(select l_orderkey as key, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as pos, l_partkey as value from lineitem)"""
 _NUMBERED = f"(select *, row_number() over (partition by key order by pos) - 1 as i, count(*) over (partition by key) as n from {_LIST})"
 _L = src.lists
-_add("rpush", lambda s, d: lists.push(_L(s, d), s.range(2).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("seq"), (F.col("id") + 9000).alias("value"))).where(F.col("key") <= 3), f"select key, pos, value from {_LIST} where key <= 3 union all select 1, coalesce((select max(pos) from {_LIST} where key = 1), -1) + i, 8999 + i from range(1, 3) r(i)")
-_add("lpush", lambda s, d: lists.indexed(lists.push(_L(s, d), s.range(2).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("seq"), (F.col("id") + 9000).alias("value")), left=True)).where(F.col("key") == 1).select("i", "value"), f"select 0 as i, 9001 as value union all select 1, 9000 union all select i + 2, value from {_NUMBERED} where key = 1")
 
 
 def _order_pushes(s: SparkSession, d: str) -> DataFrame:
@@ -155,8 +153,8 @@ def _order_pushes(s: SparkSession, d: str) -> DataFrame:
 
 
 _ENDS = f"(select o_orderkey as key, o_custkey as c, n, hi from orders left join (select key, count(*) as n, max(pos) as hi from {_LIST} group by 1) e on o_orderkey = e.key)"
-_add("rpush_all", lambda s, d: lists.push(_L(s, d), _order_pushes(s, d)), f"select key, pos, value from {_LIST} union all select key, coalesce(hi, -1) + 1, c from {_ENDS} union all select key, coalesce(hi, -1) + 2, -c from {_ENDS}")
-_add("lpush_all", lambda s, d: lists.indexed(lists.push(_L(s, d), _order_pushes(s, d), left=True)).select("key", "i", "n", "value"), f"select key, 0 as i, coalesce(n, 0) + 2 as n, -c as value from {_ENDS} union all select key, 1, coalesce(n, 0) + 2, c from {_ENDS} union all select l.key, i + 2, l.n + case when e.key is null then 0 else 2 end, value from {_NUMBERED} l left join {_ENDS} e on l.key = e.key")
+_add("rpush", lambda s, d: lists.push(_L(s, d), _order_pushes(s, d)), f"select key, pos, value from {_LIST} union all select key, coalesce(hi, -1) + 1, c from {_ENDS} union all select key, coalesce(hi, -1) + 2, -c from {_ENDS}")
+_add("lpush", lambda s, d: lists.indexed(lists.push(_L(s, d), _order_pushes(s, d), left=True)).select("key", "i", "n", "value"), f"select key, 0 as i, coalesce(n, 0) + 2 as n, -c as value from {_ENDS} union all select key, 1, coalesce(n, 0) + 2, c from {_ENDS} union all select l.key, i + 2, l.n + case when e.key is null then 0 else 2 end, value from {_NUMBERED} l left join {_ENDS} e on l.key = e.key")
 _add("llen", lambda s, d: lists.llen(_L(s, d)), "select l_orderkey as key, count(*) as n from lineitem group by 1")
 _add("lindex", lambda s, d: lists.lindex(_L(s, d), -2), f"select key, value from {_NUMBERED} where i = n - 2")
 _add("lrange", lambda s, d: lists.lrange(_L(s, d), 1, -2).select("key", "i", "value"), f"select key, i, value from {_NUMBERED} where i >= 1 and i <= n - 2")
@@ -272,14 +270,26 @@ _add("pfcount", lambda s, d: _within(sketches.pfcount(sketches.pfadd(_items(s, d
 _add("pfmerge", lambda s, d: _within(sketches.pfcount(sketches.pfmerge(sketches.pfadd(_items(s, d)), ["click", "view"], "all")), _items(s, d).where("key in ('click', 'view')").agg(F.count_distinct("item").alias("n")).withColumn("key", F.lit("all")), 0.03), "select 'all' as key, true as near")
 
 
-def _bloom(s: SparkSession, d: str) -> DataFrame:
-    bits, hashes_ = sketches.bloom_size(0.01, 1000)
-    added = src.table(s, d, "events").where("user_id % 2 = 0").select(F.col("event_type").alias("key"), F.col("user_id").alias("item"))
-    asked = _items(s, d).distinct()
-    return sketches.bf_exists(sketches.bf_add(added, bits, hashes_), asked, bits, hashes_)
+def _room(rows: DataFrame) -> tuple[int, int]:
+    """Bits and hashes for a filter of one error in a hundred with room for the items of every key."""
+    most = rows.groupBy("key").agg(F.count_distinct("item").alias("n")).agg(F.max("n")).first()[0]
+    return sketches.bloom_size(0.01, max(1, most or 0))
 
 
-_add("bf_exists", lambda s, d: _bloom(s, d).where("item % 2 = 0"), "select distinct event_type as key, user_id as item, 1 as maybe from events where user_id % 2 = 0")
+def _bloom(s: SparkSession, d: str) -> DataFrame:
+    """Of each key: how many even items were added, how many of them are missed, and whether few others seem to be there."""
+    added = _items(s, d).where("item % 2 = 0")
+    room = _room(added)
+    got = sketches.bf_exists(sketches.bf_add(added, *room), _items(s, d), *room)
+    even = F.col("item") % 2 == 0
+    return got.groupBy("key").agg(
+        F.count(F.when(even, 1)).alias("added"),
+        F.count(F.when(even & (F.col("maybe") == 0), 1)).alias("missed"),
+        (F.count(F.when(~even & (F.col("maybe") == 1), 1)) <= 3 + 0.03 * F.count(F.when(~even, 1))).alias("few_false"),
+    )
+
+
+_add("bf_exists", _bloom, "select event_type as key, count(distinct user_id) filter (user_id % 2 = 0) as added, 0 as missed, true as few_false from events group by 1")
 _add("cf_count", lambda s, d: sketches.multiset(src.table(s, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").alias("item"), F.when(F.col("event_id") % 4 == 0, -1).otherwise(1).alias("delta"))), "select event_type as key, user_id as item, sum(case when event_id % 4 = 0 then -1 else 1 end)::bigint as n from events group by 1, 2 having sum(case when event_id % 4 = 0 then -1 else 1 end) > 0")
 _add("cf_exists", lambda s, d: sketches.cf_exists(sketches.multiset(_items(s, d).where("key = 'click'").withColumn("delta", F.lit(1))), _items(s, d).distinct()), "select k.key, k.item, coalesce(c.n, 0) as n from (select distinct event_type as key, user_id as item from events) k left join (select event_type as key, user_id as item, count(*) as n from events where event_type = 'click' group by 1, 2) c using (key, item)")
 
@@ -288,10 +298,12 @@ def _cms(s: SparkSession, d: str) -> DataFrame:
     width, depth = sketches.cms_size(0.0005, 0.999)
     got = sketches.cms_query(sketches.cms_add(_items(s, d), width, depth), _items(s, d), width, depth)
     exact = _items(s, d).groupBy("key", "item").agg(F.count("*").alias("exact"))
-    return got.join(exact, ["key", "item"]).select("key", "item", (F.col("n") >= F.col("exact")).alias("enough"))
+    total = _items(s, d).groupBy("key").agg(F.count("*").alias("total"))
+    near = (F.col("n") >= F.col("exact")) & (F.col("n") <= F.col("exact") + F.ceil(F.col("total") * 0.0005))
+    return got.join(exact, ["key", "item"]).join(total, "key").groupBy("key").agg((F.sum((F.col("n") < F.col("exact")).cast("int")) == 0).alias("enough"), (F.avg(near.cast("int")) >= 0.999).alias("near"))
 
 
-_add("cms_query", _cms, "select distinct event_type as key, user_id as item, true as enough from events")
+_add("cms_query", _cms, "select distinct event_type as key, true as enough, true as near from events")
 _add("topk_list", lambda s, d: sketches.topk(_items(s, d), 5), "select * from (select key, item, n, row_number() over (partition by key order by n desc, item)::int as rank from (select event_type as key, user_id as item, count(*) as n from events group by 1, 2)) where rank <= 5")
 _add("topk_query", lambda s, d: sketches.topk_query(sketches.topk(_items(s, d), 5), _items(s, d).distinct()), "select key, item, (row_number() over (partition by key order by n desc, item) <= 5)::int as found from (select event_type as key, user_id as item, count(*) as n from events group by 1, 2)")
 _V = "(select event_type as key, value from events)"
@@ -301,7 +313,19 @@ def _values(s: SparkSession, d: str) -> DataFrame:
     return src.table(s, d, "events").select(F.col("event_type").alias("key"), "value")
 
 
-_add("tdigest_quantile", lambda s, d: sketches.quantiles(_values(s, d), [0.25, 0.5, 0.99], exact=True).select("key", *[F.round(f"q{i}", 6).alias(f"q{i}") for i in range(3)]), f"select key, round(quantile_cont(value, 0.25), 6) as q0, round(quantile_cont(value, 0.5), 6) as q1, round(quantile_cont(value, 0.99), 6) as q2 from {_V} group by 1")
+QUANTILES = [0.01, 0.25, 0.5, 0.99]
+
+
+def _digest_near(s: SparkSession, d: str) -> DataFrame:
+    """Whether each quantile of the digest has a share of the values at or below it that is near what it should be."""
+    found = sketches.digest_quantile(sketches.digest(_values(s, d)), QUANTILES)
+    each = _values(s, d).join(found, "key")
+    shares = [(F.avg((F.col("value") < F.col(f"q{i}")).cast("double")) - 0.015 <= q) & (F.avg((F.col("value") <= F.col(f"q{i}")).cast("double")) + 0.015 >= q) for i, q in enumerate(QUANTILES)]
+    return each.groupBy("key").agg(F.count("*").alias("n"), *[x.alias(f"near{i}") for i, x in enumerate(shares)])
+
+
+_add("tdigest_quantile", _digest_near, f"select key, count(*) as n, true as near0, true as near1, true as near2, true as near3 from {_V} group by 1")
+_add("quantile_exact", lambda s, d: sketches.quantiles(_values(s, d), [0.25, 0.5, 0.99], exact=True).select("key", *[F.round(f"q{i}", 6).alias(f"q{i}") for i in range(3)]), f"select key, round(quantile_cont(value, 0.25), 6) as q0, round(quantile_cont(value, 0.5), 6) as q1, round(quantile_cont(value, 0.99), 6) as q2 from {_V} group by 1")
 _add("tdigest_cdf", lambda s, d: sketches.cdf(_values(s, d), 100.0).select("key", F.round("cdf", 6).alias("cdf")), f"select key, round(avg((value <= 100)::int), 6) as cdf from {_V} group by 1")
 _add("tdigest_info", lambda s, d: sketches.digest_info(_values(s, d)).select("key", "n", "min", "max", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev")), f"select key, count(*) as n, min(value) as min, max(value) as max, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as stddev from {_V} group by 1")
 _add("tdigest_trimmed", lambda s, d: sketches.trimmed_mean(_values(s, d), 0.1, 0.9).select("key", F.round("mean", 6).alias("mean")), f"select e.key, round(avg(value), 6) as mean from {_V} e join (select key, quantile_cont(value, 0.1) as a, quantile_cont(value, 0.9) as b from {_V} group by 1) q on e.key = q.key and value between a and b group by 1")
@@ -412,7 +436,8 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _post(s: SparkSession, d: str) -> DataFrame:
-    return search.postings(_docs(s, d).select("doc_id", "text"), "text")
+    """Postings of all texts, kept for the session in order of their terms."""
+    return src.kept(s, f"postings of {d}", lambda: search.postings(_docs(s, d).select("doc_id", "text"), "text").select("term", "doc_id", "tf"), "term", "doc_id")
 
 
 def _tags(s: SparkSession, d: str) -> DataFrame:
@@ -458,7 +483,8 @@ def _synonyms(s: SparkSession, d: str) -> DataFrame:
 
 _add("ft_syn_expand", lambda s, d: search.syn_expand(search.syn_update(_synonyms(s, d), "own", ["license", "licence"]), ["license"]), "select unnest(['license', 'licence']) as term")
 _add("ft_dict", lambda s, d: search.dict_dump(search.dict_del(search.dict_add(_synonyms(s, d).select(F.col("grp").alias("dict"), "term"), "mine", ["a", "b"]), "mine", ["a"]), "mine"), "select 'b' as term")
-_add("stem", lambda s, d: src.table(s, d, "part").select(F.explode(tx.tokens(F.col("p_name"))).alias("word")).distinct().select("word", tx.stem(F.col("word")).alias("stem")))
+_STEM = " ".join(f"when ends_with(w, '{x}') and strlen(left(w, len(w) - {len(x)}) || '{y}') >= 2 then left(w, len(w) - {len(x)}) || '{y}'" for x, y in tx.SUFFIXES)
+_add("stem", lambda s, d: src.table(s, d, "part").select(F.explode(tx.tokens(F.concat_ws(" ", "p_name", "p_type", F.lit("licences studies happily national")))).alias("word")).distinct().select("word", tx.stem(F.col("word")).alias("stem")), f"select w as word, case {_STEM} else w end as stem from (select distinct unnest(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' licences studies happily national'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) as w from part)")
 _add("char_ngrams", lambda s, d: src.table(s, d, "part").select("p_partkey", F.explode(tx.char_ngrams(F.col("p_name"), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), "select substr(lower(p_name), i, 3) as gram, count(*) as n from part, range(1, 200) r(i) where i <= greatest(len(p_name) - 2, 1) group by 1")
 
 # --- log ----------------------------------------------------------------------------------
@@ -492,8 +518,8 @@ def stream_tumble(s: SparkSession, d: str) -> DataFrame:
     from ..streaming import live
 
     e = live.read(s, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    w = e.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return live.run_available(w.select("event_type", "n"), "complete").groupBy("event_type").agg(F.sum("n").alias("n"))
+    w = live.tumble(e, "ts", "1 day", "1 day", ["event_type"], F.count("*").alias("n"))
+    return live.run_available(w, "complete").groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
 @query("stream_groups", f"select key, (k % 3)::bigint as consumer, count(*) as given from (select key, row_number() over (partition by key order by ms, seq) - 1 as k from {_X}) group by 1, 2")
@@ -511,3 +537,6 @@ def stream_subscribe(s: SparkSession, d: str) -> DataFrame:
 
     e = live.read(s, f"{d}/events.parquet").select(F.col("event_type").alias("channel"), "value")
     return live.run_available(live.subscribe(e, ["click", "purchase"])).groupBy("channel").agg(F.count("*").alias("n"))
+
+
+from . import more  # noqa: E402, F401

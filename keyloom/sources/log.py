@@ -6,10 +6,16 @@ log; compaction writes the snapshot back as a log.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import batched
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from ..plans.shipping import ship
+
 
 def _order() -> WindowSpec:
     return Window.partitionBy("key").orderBy("seq")
@@ -61,15 +67,51 @@ def encode_resp(commands: DataFrame) -> DataFrame:
 def read_resp(spark: SparkSession, path: str) -> DataFrame:
     """Commands (``path``, ``n``, ``args``) of text log files, in order within each file.
 
-    Files are cut into their length-prefixed parts by the native reader of
-    whole files, so a log is best kept in many files. Arguments must not hold
-    line breaks followed by a length mark.
+    Arguments are cut by their byte lengths and may hold anything, also line
+    breaks and length marks. A command that breaks off at the end of a file is
+    left out, as a log that was being written ends so. A file is read as one
+    row, so a log is best kept in many files.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    commands = F.filter(F.split("value", r"(?:^|(?<=\r\n))\*\d+\r\n"), lambda x: x != "")
-    rows = files.select("path", F.posexplode(commands).alias("n", "command"))
-    args = F.transform(F.filter(F.split("command", r"(?:^|(?<=\r\n))\$\d+\r\n"), lambda x: x != ""), lambda x: F.regexp_replace(x, r"\r\n$", ""))
-    return rows.select("path", "n", args.alias("args"))
+    ship(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for part in batched(enumerate(decode_resp(content)), 4096):
+                    yield _commands(name, part[0][0], [args for _, args in part])
+
+    return files.mapInArrow(run, "path string, n long, args array<string>")
+
+
+def _commands(path: str, first: int, args: list[list[str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([path] * len(args)), pa.array(range(first, first + len(args)), pa.int64()), pa.array(args, pa.list_(pa.string()))], names=["path", "n", "args"])
+
+
+def decode_resp(data: bytes) -> Iterator[list[str]]:
+    """Commands of a log's text, in turn, up to one that breaks off; bytes that are no UTF-8 become marks."""
+
+    def number(at: int, sign: bytes) -> tuple[int, int]:
+        end = data.find(b"\r\n", at)
+        if end < 0:
+            return -1, at
+        if data[at : at + 1] != sign or not data[at + 1 : end].isdigit():
+            raise ValueError(f"no length mark at byte {at}")
+        return int(data[at + 1 : end]), end + 2
+
+    at = 0
+    while at < len(data):
+        count, at = number(at, b"*")
+        args: list[str] = []
+        for _ in range(count):
+            size, at = number(at, b"$") if at < len(data) else (-1, at)
+            if size < 0 or at + size + 2 > len(data):
+                return
+            args.append(data[at : at + size].decode(errors="replace"))
+            at += size + 2
+        if count < 0:
+            return
+        yield args
 
 
 def snapshot(df: DataFrame, path: str) -> None:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import heapq
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..plans.shipping import ship
+from ..sources.tables import shared
+
 
 def read(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A stream of the rows of Parquet files; the schema comes from those that are there."""
@@ -23,16 +26,24 @@ def read(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFram
 def run_available(out: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming query over what is there now and return its result (for tests and backfills).
 
-    The checkpoint lies in the shared folder that the session names, or a
-    temporary one where none is set.
+    The result is written as Parquet beside the query's checkpoint and never
+    passes through the driver: appended by batch, or in mode ``complete`` the
+    last batch's.
     """
     spark = out.sparkSession
-    name = f"live_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    place = f"{base}/{name}" if base else tempfile.mkdtemp(prefix="keyloom-stream-")
-    q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    place = shared(spark, "live")
+    writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{place}/out").start().awaitTermination()
+        return spark.read.schema(out.schema).parquet(f"{place}/out")
+    made: list[str] = []
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/out-{number}")
+        made[:] = [f"{place}/out-{number}"]
+
+    writer.foreachBatch(deliver).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(made[0]) if made else spark.createDataFrame([], out.schema)
 
 
 def _windowed(events: DataFrame, ts: str, window: Column, late: str, by: list[str], aggregates: tuple, ends: tuple[str, ...] = ("start",)) -> DataFrame:
@@ -111,23 +122,58 @@ def expiring(writes: DataFrame, ttl_ms: int) -> DataFrame:
     return writes.withWatermark("ts", "0 seconds").groupBy("key").applyInPandasWithState(step, "key string, value string, event string", "at long, value string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def queue(events: DataFrame) -> DataFrame:
-    """Blocking pops: pushes (kind ``push``, value) meet waiting pops (kind ``pop``, value names who waits), both first come first served.
+#: What a waiting pop takes: the oldest value, the newest, or that of the least or largest score.
+TAKES = ("first", "last", "min", "max")
+
+
+def queue(events: DataFrame, take: str = "first") -> DataFrame:
+    """Blocking pops: pushes (kind ``push``, value) meet waiting pops (kind ``pop``, value names who waits), pops first come first served.
 
-    Events (key, n, kind, value) are taken by ``n`` within a batch; what waits
-    is kept for later batches.
+    Events (key, n, kind, value and, for ``min`` and ``max``, score) are taken
+    by ``n`` within a batch; what waits is kept for later batches. ``take``
+    says which value goes: ``first`` (BLPOP of values pushed at the tail),
+    ``last`` (BRPOP), ``min`` or ``max`` (BZPOPMIN, BZPOPMAX; ties by value).
+    A key is served by one task, in order.
     """
+    if take not in TAKES:
+        raise ValueError(f"take must be one of {TAKES}")
+    ship(events.sparkSession)
+    scored = take in ("min", "max")
+    events = events.select("key", "n", "kind", "value", F.col("score").cast("double").alias("score") if scored else F.lit(0.0).alias("score"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, waiting = (list(x) for x in state.get) if state.exists else ([], [])
+        values, scores, names = (list(x) for x in state.get) if state.exists else ([], [], [])
+        sign = -1.0 if take == "max" else 1.0
+        items: deque | list = [(sign * x, v) if take == "min" else (sign * x, _Falling(v)) for x, v in zip(scores, values, strict=True)] if scored else deque(values)
+        if scored:
+            heapq.heapify(items)
+        waiting = deque(names)
         out: list[tuple[str, str]] = []
-        rows = sorted((int(n), k, v) for p in batches for n, k, v in zip(p["n"], p["kind"], p["value"], strict=True))
-        for _, kind, value in rows:
-            (items if kind == "push" else waiting).append(value)
+        rows = sorted((int(n), k, v, float(x)) for p in batches for n, k, v, x in zip(p["n"], p["kind"], p["value"], p["score"], strict=True))
+        for _, kind, value, score in rows:
+            if kind != "push":
+                waiting.append(value)
+            elif scored:
+                heapq.heappush(items, (sign * score, value if take == "min" else _Falling(value)))
+            else:
+                items.append(value)
             while items and waiting:
-                out.append((waiting.pop(0), items.pop(0)))
-        state.update((items, waiting))
+                got = str(heapq.heappop(items)[1]) if scored else items.pop() if take == "last" else items.popleft()
+                out.append((waiting.popleft(), got))
+        state.update(([str(v) for _, v in items], [sign * x for x, _ in items], list(waiting)) if scored else (list(items), [0.0] * len(items), list(waiting)))
         if out:
             yield pd.DataFrame({"key": [key[0]] * len(out), "who": [a for a, _ in out], "value": [b for _, b in out]})
 
-    return events.groupBy("key").applyInPandasWithState(step, "key string, who string, value string", "items array<string>, waiting array<string>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("key").applyInPandasWithState(step, "key string, who string, value string", "items array<string>, scores array<double>, waiting array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+class _Falling(str):
+    """Text that sorts the other way round, for the largest of equal scores."""
+
+    def __lt__(self, other: str) -> bool:
+        return str.__gt__(self, other)
+
+
+def moved(popped: DataFrame, target: str) -> DataFrame:
+    """What ``queue`` gave as pushes to another list (BLMOVE): key, value and who asked."""
+    return popped.select(F.lit(target).alias("key"), "value", "who")

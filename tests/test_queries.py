@@ -39,7 +39,7 @@ def test_filters_reach_the_scan(spark, data):
     assert "ReadSchema: struct<event_id" in plan and "props" not in plan
 
 
-@pytest.mark.parametrize("name", ["rpush_all", "lpush_all"])
+@pytest.mark.parametrize("name", ["rpush", "lpush"])
 def test_pushes_reach_every_list(spark, data, name):
     orders = {r[0] for r in spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey").collect()}
     listed = {r[0] for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey").collect()}
