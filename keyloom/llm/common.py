@@ -2,36 +2,22 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.shipping import ship as send
+
 #: Rows and bytes of one Arrow batch; a batch of long texts ends by its bytes.
 ARROW_ROWS, ARROW_BYTES = 10_000, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor.
-
-    The package is sent once per Spark application as a zip archive, so that
-    executors need neither the repository nor a shared folder.
-    """
-    sc = spark.sparkContext
-    if getattr(sc, "_keyloom_shipped", None) != sc.applicationId:
-        root = Path(__file__).resolve().parents[1]
-        fd, name = tempfile.mkstemp(prefix=f"{root.name}-", suffix=".zip")
-        os.close(fd)
-        with zipfile.ZipFile(name, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(name)
-        sc._keyloom_shipped = sc.applicationId
+    """Make this package importable in the Python workers of every executor, and bound what they get at once."""
+    send(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 

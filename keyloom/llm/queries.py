@@ -106,6 +106,29 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages.select("page_id", "url"), RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op3_secrets`` that SQL can express: base spans."""
+    return op3_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op4_licenses`` that SQL can express: words and phrases."""
+    return op4_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def fingerprints_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op5_fingerprints`` that SQL can express: lengths and edited texts."""
+    return op5_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op6_simhash``: each distinct text once, with the least id that has it and whether all its rows share one group and print."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = simhash.near_duplicates(docs)
+    same = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256")).join(found, "doc_id").groupBy("text_sha256")
+    return same.agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), ((F.min("component_id") == F.max("component_id")) & (F.min("fp") == F.max("fp")) & (F.max("component_id") <= F.min("doc_id"))).alias("together"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_topk": op2_topk,
@@ -117,8 +140,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chats": op8_chats,
     "op9_language": op9_language,
     "op10_urls": op10_urls,
+    "secrets_base": secrets_base,
+    "licenses_base": licenses_base,
+    "fingerprints_edited": fingerprints_edited,
+    "simhash_groups": simhash_groups,
 }
 
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
 #: The same results in DuckDB's SQL, where it can express them.
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": r"""
@@ -189,4 +218,34 @@ ORACLE_SQL: dict[str, str] = {
             from urls join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by host, path)
         select k.page_id, k.host, k.path, b.rule, coalesce(b.action, case when l.key is not null and k.key <> '' then 'block' else 'allow' end) as verdict
         from keyed k left join best b on k.host = b.host and k.path = b.path left join listed l on k.key = l.key""",
+    "secrets_base": rf"""
+        with texts as (select doc_id, coalesce(text, '') as x from documents),
+        cut as (
+            select doc_id, 0 as rank, 'assign' as kind, regexp_extract_all(x, '{_ASSIGN}') as found, regexp_split_to_array(x, '{_ASSIGN}') as gaps from texts
+            union all select doc_id, 1, 'access', regexp_extract_all(x, 'AKIA[A-Z0-9]+'), regexp_split_to_array(x, 'AKIA[A-Z0-9]+') from texts
+            union all select doc_id, 2, 'hex', regexp_extract_all(x, '[0-9a-f]{{24,}}'), regexp_split_to_array(x, '[0-9a-f]{{24,}}') from texts),
+        each as (select doc_id, rank, kind, found, gaps, unnest(range(1, len(found) + 1)) as i from cut),
+        spans as (
+            select doc_id, rank, kind, found[i] as v, list_sum(list_transform(gaps[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda g: len(g))), 0) as start
+            from each),
+        good as (select *, (start + len(v))::bigint as stop from spans where case kind when 'assign' then len(regexp_extract(v, '{_ASSIGN}', 2)) >= 6 when 'access' then len(v) >= 20 else true end)
+        select t.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+            sha256(coalesce(string_agg(kind || ':' || start::bigint || ':' || stop, ',' order by start, rank), '')) as base_sha256
+        from texts t left join good g on t.doc_id = g.doc_id group by t.doc_id""",
+    "licenses_base": r"""
+        with cut as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        placed as (
+            select doc_id, len(w) as n, list_filter(range(len(w)), lambda i: w[i + 1] = 'cc' and w[i + 2] = 'by') as a,
+                list_filter(range(len(w)), lambda i: w[i + 1] = 'general' and w[i + 2] = 'public' and w[i + 3] = 'license') as b,
+                list_filter(range(len(w)), lambda i: w[i + 1] = 'all' and w[i + 2] = 'rights' and w[i + 3] = 'reserved') as c
+            from cut)
+        select doc_id, n as n_words, len(a) + len(b) + len(c) as n_base, list_min(list_concat(a, b, c)) as first_word, list_max(list_concat(a, b, c)) as last_word,
+            concat_ws(',', case when len(a) > 0 then 'cc-by' end, case when len(b) > 0 then 'gpl' end, case when len(c) > 0 then 'reserved' end) as base_labels
+        from placed""",
+    "fingerprints_edited": """
+        with texts as (select doc_id, coalesce(text, '') as x from documents),
+        paired as (select *, coalesce(lead(x) over (order by doc_id), (select arg_min(x, doc_id) from texts)) as y from texts)
+        select doc_id, len(x) as n_chars, sha256(left(x, len(x) - len(x) // 2) || left(y, len(x) // 2)) as edited_sha256 from paired""",
+    "simhash_groups": "select sha256(coalesce(text, '')) as text_sha256, min(doc_id) as least, count(*) as n, true as together from documents group by 1",
 }

@@ -24,6 +24,51 @@ def test_query_gives_a_row_for_each_document(spark, data, name):
     assert sorted(ids) == sorted(r["doc_id"] for r in spark.read.parquet(f"{data}/documents.parquet").collect())
 
 
+def test_encoding_of_a_whole_table_is_the_library_s(spark, data):
+    """``op1_bpe`` over all documents, digest by digest."""
+    library = Tokenizer.from_file(vocabulary())
+    library.no_truncation()
+    library.no_padding()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for r in QUERIES["op1_bpe"](spark, data).collect():
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_simhash_groups_against_brute_force(spark, data):
+    """``op6_simhash`` over all documents: prints by their definition, groups by comparing all."""
+    import xxhash
+
+    def fingerprint_of(text):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+        for c in "\t\n\x0b\x0c\r":
+            words = words.replace(c, " ")
+        words = [w for w in words.split(" ") if w]
+        if not words:
+            return 0
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+        hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    want = {r["doc_id"]: fingerprint_of(r["text"] or "") for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in QUERIES["op6_simhash"](spark, data).collect()}
+    assert all(got[i]["fingerprint"] == f"{f:016x}" for i, f in want.items())
+    root = {i: i for i in want}
+    changed = True
+    ids = sorted(want)
+    links = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if (want[a] ^ want[b]).bit_count() <= 2]
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(root[a], root[b])
+            if root[a] != m or root[b] != m:
+                root[a] = root[b] = m
+                changed = True
+    assert all(got[i]["component_id"] == root[i] for i in ids)
+
+
 def test_secret_counts(spark, tmp_path):
     rows = [(1, "token = abcdef12 and token=short AKIA" + "A1" * 10), (2, "0123456789abcdef" * 2 + " é 0123456789abcdef" * 3 + "fedcba9876543210"), (3, None), (4, "secret: 'abcdefgh' password=zzzzzzzz")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
