@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,6 +45,22 @@ class Registry:
                 return fs[name](*args, **options)
         raise KeyError(f"no function {name}")
 
+    call_ro = call
+
+    def dump(self) -> bytes:
+        """All libraries as bytes, to be restored in another session; not safe to restore from others."""
+        return cloudpickle.dumps(self.libraries)
+
+    def restore(self, blob: bytes, policy: str = "append") -> None:
+        """Libraries of a dump: added (one that exists is an error), replacing those of their name, or after a flush."""
+        found = pickle.loads(blob)
+        if policy not in ("append", "replace", "flush"):
+            raise ValueError("policy must be append, replace or flush")
+        if policy == "flush":
+            self.flush()
+        for library, functions in found.items():
+            self.load(library, functions, replace=policy == "replace")
+
     def script_load(self, sql: str) -> str:
         """Keep a SQL text with :named parameters; returns its SHA-1."""
         sha = hashlib.sha1(sql.encode()).hexdigest()

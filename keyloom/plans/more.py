@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import access, geo, hashes, jsondoc, keyspace, lists, search, sets, sketches, streams, strings, udfs, vectors, zsets
+from ..operators import access, channels, geo, hashes, jsondoc, keyspace, lists, placement, search, sets, sketches, streams, strings, udfs, vectors, zsets
 from ..sources import log as logs
 from ..sources import tables as src
 from . import commands
@@ -296,6 +296,37 @@ _add("acl_refused", _acl, "select (user_id % 3)::varchar as user, event_type as
 _add("command_catalogue", lambda s, d: commands.catalogue(s).where("family in ('zsets', 'streams')").groupBy("family").agg((F.count("*") > 15).alias("many")), "select * from (values ('zsets', true), ('streams', true)) v(family, many)")
 _add("log_compact", lambda s, d: logs.fold_strings(logs.compact(_strings(s, d).select("key", "value")).withColumn("seq", F.lit(1))), f"select key, value from {_EX}")
 
+# --- placement, channels ------------------------------------------------------------------
+
+_add("snowflake_ids", lambda s, d: placement.ids(src.table(s, d, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("event_id").alias("n")), 5).select("event_id", "id"), f"select event_id, (epoch_ns(ts) // 1000000 - {placement.EPOCH}) * 4194304 + 5 * 1024 + row_number() over (partition by epoch_ns(ts) // 1000000 order by event_id) - 1 as id from events")
+_add("slots_rebalanced", lambda s, d: placement.rebalance(src.table(s, d, "customer").select(F.col("c_custkey").alias("slot"), F.concat(F.lit("n"), F.col("c_nationkey") % 4).alias("node")), ["n0", "n1", "n2", "new"]).agg(F.count_distinct("slot").alias("slots"), F.count_distinct("node").alias("nodes"), F.sum((F.col("node") == F.col("old")).cast("int")).alias("kept")), """
+    with held as (select c_nationkey % 4 as node, count(*) as n from customer where c_nationkey % 4 < 3 group by 1 union all select 9, 0),
+    share as (select *, (select count(*) from customer) // 4 + (row_number() over (order by n desc, node) <= (select count(*) from customer) % 4)::int as room from held)
+    select (select count(*) from customer) as slots, 4 as nodes, sum(least(n, room))::bigint as kept from share""")
+_SUBS = "(select distinct user_id as client, event_type as channel from events where user_id % 4 = 1)"
+
+
+def _subs(s: SparkSession, d: str) -> DataFrame:
+    return src.table(s, d, "events").where("user_id % 4 = 1").select(F.col("user_id").alias("client"), F.col("event_type").alias("channel")).distinct()
+
+
+_add("pubsub_channels", lambda s, d: channels.channels(_subs(s, d), "*i*"), f"select distinct channel from {_SUBS} where channel like '%i%'")
+_add("pubsub_numsub", lambda s, d: channels.numsub(channels.unsubscribe(channels.subscribe(_subs(s, d), s.createDataFrame([(-1, "click"), (-1, "fresh")], "client long, channel string")), s.createDataFrame([(1, None), (5, "click")], "client long, channel string")), s.createDataFrame([("click",), ("view",), ("none",), ("fresh",)], "channel string")), f"select channel, (select count(*) from (select * from {_SUBS} union select -1, 'click' union select -1, 'fresh') x where x.channel = a.channel and client <> 1 and not (client = 5 and x.channel = 'click')) as n from (values ('click'), ('view'), ('none'), ('fresh')) a(channel)")
+_add("pubsub_delivered", lambda s, d: channels.delivered(src.table(s, d, "events").select(F.col("event_type").alias("channel"), "event_id"), _subs(s, d)).groupBy("client").agg(F.count("*").alias("n")), f"select client, count(*) as n from {_SUBS} join events on event_type = channel group by 1")
+
+
+@query("function_restore", "select 3 as functions, count(distinct o_orderstatus) as members from orders")
+def function_restore(s: SparkSession, d: str) -> DataFrame:
+    """Libraries dumped, dropped, restored, and called."""
+    r = udfs.Registry(s)
+    r.load("a", {"keys": lambda t: t.select("key").distinct(), "none": lambda t: t.limit(0)})
+    r.load("b", {"n": lambda t: t.agg(F.count_distinct("key").alias("members"))})
+    blob = r.dump()
+    r.flush()
+    r.restore(blob)
+    return r.call_ro("n", src.sets(s, d)).select(F.lit(len(r.list())).alias("functions"), "members")
+
+
 # --- streaming ----------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom.functions import text as tx
-from keyloom.operators import geo, keyspace, search, sketches, strings, vectors
+from keyloom.operators import geo, keyspace, placement, search, sketches, strings, vectors
 from keyloom.sources import log, tables
 
 
@@ -152,3 +152,26 @@ def test_writes_with_bad_options(spark):
 
     with pytest.raises(ValueError, match="take"):
         live.queue(spark.range(1), "middle")
+
+
+def test_ring_against_a_slow_version(spark):
+    import zlib
+
+    points = placement.ring(["a", "b", "", "c"], 40)
+    keys = [f"key{i}" for i in range(300)] + ["{tag}x", "y{tag}", "{}z", "", "é"]
+
+    def pick(key):
+        start, end = key.find("{"), key.find("}")
+        if 0 <= start < end - 1:
+            key = key[start + 1 : end]
+        return next((n for p, n in points if p >= zlib.crc32(key.encode())), points[0][1])
+
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", placement.node_of(F.col("k"), points).alias("n")).collect()
+    assert all(r["n"] == pick(r["k"]) for r in got) and len({r["n"] for r in got}) == 3
+
+
+def test_rebalanced_slots_are_even(spark):
+    t = spark.createDataFrame([(i, "a" if i < 50 else "gone" if i < 60 else "b") for i in range(101)], "slot long, node string")
+    got = placement.rebalance(t, ["a", "b", "c"]).collect()
+    assert len({r["slot"] for r in got}) == 101
+    assert sorted(sum(r["node"] == x for r in got) for x in "abc") == [33, 34, 34] and sum(r["node"] == r["old"] for r in got) == 34 + 34
