@@ -7,7 +7,7 @@ results are the same in reruns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import matches
@@ -165,9 +165,14 @@ def sort(elements: DataFrame, by: DataFrame | None = None, get: DataFrame | None
     order = (weight.desc_nulls_last() if descending else weight.asc_nulls_first(), F.col("value").desc() if descending else F.col("value"))
     if limit is not None:
         rows = rows.orderBy(*order).offset(offset).limit(limit)
-    if get is not None:
-        rows = rows.join(get.select("value", "result"), "value", "left")
-    return rows.orderBy(*order) if limit is None or get is not None else rows
+    if get is None:
+        return rows if limit is not None else rows.orderBy(*order)
+    found = get.select("value", "result")
+    if limit is None:
+        return rows.join(found, "value", "left").orderBy(*order)
+    # A second sort by the same columns may be dropped as redundant by adaptive execution, though the join undoes the first: places are numbered.
+    placed = rows.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+    return placed.join(found, "value", "left").orderBy("_n").drop("_n")
 
 
 def versions(log: DataFrame) -> DataFrame:
