@@ -82,8 +82,12 @@ def _together(fps: DataFrame) -> tuple[int, np.ndarray]:
     return got.get(0, 0), np.array([got.get(i + 1, 0) for i in range(4096)], float).reshape(64, 64)
 
 
-def plan(n: int, both: np.ndarray, tau: int = TAU) -> list[tuple[list[int], int]]:
-    """Groups of bits with their thresholds, those of -1 left out, of the least estimated cost."""
+def plan(n: int, both: np.ndarray, tau: int = TAU, sizes: tuple[int, ...] = GROUPS, most: int = 1) -> list[tuple[list[int], int]]:
+    """Groups of bits with their thresholds, those of -1 left out, of the least estimated cost.
+
+    ``sizes`` are the numbers of groups to weigh, ``most`` the largest threshold.
+    """
+    bits = len(both)
     p11 = both / max(n, 1)
     p = np.diag(p11)
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-9))
@@ -92,11 +96,11 @@ def plan(n: int, both: np.ndarray, tau: int = TAU) -> list[tuple[list[int], int]
     agree2 = p11**2 + p10**2 + p01**2 + np.maximum(1 - p11 - p10 - p01, 0) ** 2
     agree = p**2 + (1 - p) ** 2
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
-    for m in GROUPS:
+    for m in sizes:
         groups: list[list[int]] = []
-        left = set(range(64))
+        left = set(range(bits))
         for k in range(m):
-            size = (64 - sum(map(len, groups))) // (m - k)
+            size = (bits - sum(map(len, groups))) // (m - k)
             group = [max(left, key=lambda i: (phi[i, list(left)].sum(), -i))]
             left.remove(group[0])
             while len(group) < size:
@@ -112,7 +116,7 @@ def plan(n: int, both: np.ndarray, tau: int = TAU) -> list[tuple[list[int], int]
                 q = min(1.0, agree2[i, j] / agree[j]) if at else agree[i]
                 near = near * q + np.concatenate([[0], near[:-1]]) * (1 - q)
             ball = [1, 1 + len(g), 1 + len(g) + len(g) * (len(g) - 1) // 2]
-            cost.append({-1: 0.0} | {t: n * ball[t] + n * n / 2 * near[: t + 1].sum() for t in range(min(1, tau) + 1)})
+            cost.append({-1: 0.0} | {t: n * ball[t] + n * n / 2 * near[: t + 1].sum() for t in range(min(most, tau) + 1)})
         sums: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for c in cost:
             new: dict[int, tuple[float, list[int]]] = {}

@@ -362,6 +362,49 @@ def test_near_copies_among_texts_with_a_common_passage(spark):
     assert sum(c // 2 != i // 2 for i, c in got.items()) <= 0.01 * len(rows)
 
 
+def test_near_copies_hold_all_links_of_simhash(spark):
+    """Texts of one much repeated line and different ends: within two bits of 64, far apart on 512."""
+    rnd = random.Random(28)
+    rows = []
+    for g in range(20):
+        line = " ".join(f"line{g}x{k}" for k in range(9))
+        for _ in range(3):
+            end = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+            rows.append((len(rows), f"{line} " * 60 + end))
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    exact = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(t).collect()}
+    assert exact == {i: i - i % 3 for i in exact}
+    wide = np.array([similar.wide(text.encode()) for _, text in rows]).view(np.uint64)
+    apart = np.bitwise_count(wide[::3] ^ wide[1::3]).sum(axis=1)
+    assert apart.min() > similar.NEAR
+    assert {r["doc_id"]: r["component_id"] for r in similar.near_copies(t).collect()} == exact
+
+
+def test_pigeonhole_of_wide_fingerprints_is_exact(spark):
+    """No pair up to 35 bits apart is lost, wherever the bits are: here each of 34 samples of 14 bits has one of them."""
+    left = [set(np.random.default_rng(1000 + k).choice(64 * similar.WORDS, 14, replace=False).tolist()) for k in range(34)]
+    hit = []
+    while left:
+        hit.append(max(range(64 * similar.WORDS), key=lambda b: sum(b in x for x in left)))
+        left = [x for x in left if hit[-1] not in x]
+    assert len(hit) <= 35
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(100):
+        bits = rng.integers(0, 2, 64 * similar.WORDS, dtype=np.uint8)
+        other = bits.copy()
+        other[hit if i % 2 else rng.choice(len(bits), 35, replace=False)] ^= 1
+        rows += [(2 * i + k, np.packbits(x, bitorder="little").view(np.int64).tolist()) for k, x in enumerate((bits, other))]
+    fps = spark.createDataFrame(rows, "node long, fp array<long>")
+    found = similar._chunked(similar._meet(similar._dealt(fps, len(rows)), similar.HOT)).collect()
+    assert {(r["u"], r["v"]) for r in found} == {(2 * i, 2 * i + 1) for i in range(100)}
+    for n in (0, 1 << 18, 1 << 21, 1 << 24):
+        bits, count = similar.probes(n)
+        groups = similar.bit_groups(n, np.array([fp for _, fp in rows]))
+        whole = 64 * similar.WORDS // bits
+        assert len(groups) == max(whole, count) and sorted(b for g in groups[:whole] for b in g) == list(range(64 * similar.WORDS))
+
+
 def test_all_rows_of_a_bucket_are_compared():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, (40, similar.WORDS)).astype(np.uint64)
