@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from keyloom.operators import channels
 from keyloom.plans.queries import QUERIES
+from keyloom.sources import tables
 
 
 def plan(df) -> str:
@@ -24,3 +25,13 @@ def test_deliveries_are_counted_without_a_row_for_each(spark, data):
     depth = len(lines[joins[0]]) - len(lines[joins[0]].lstrip(" :+-")) + 3
     sides = [x for x in lines[joins[0] + 1 :] if len(x) - len(x.lstrip(" :+-")) == depth]
     assert len(joins) == 1 and len(sides) == 2 and all(x.lstrip(" :+-").startswith("Aggregate") for x in sides)
+
+
+def test_an_index_asked_for_places_reads_no_text(spark, data, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("nothing is to be written")
+
+    monkeypatch.setattr(tables, "shared", refuse)
+    got = QUERIES["ft_geo"](spark, data)
+    schemas = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "ReadSchema" in x]
+    assert schemas and not any("text:" in x for x in schemas)
