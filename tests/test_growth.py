@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyloom.operators import channels
+from keyloom.operators import channels, search
 from keyloom.plans.queries import QUERIES
 from keyloom.sources import tables
 
@@ -35,3 +35,16 @@ def test_an_index_asked_for_places_reads_no_text(spark, data, monkeypatch):
     got = QUERIES["ft_geo"](spark, data)
     schemas = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "ReadSchema" in x]
     assert schemas and not any("text:" in x for x in schemas)
+
+
+def test_terms_are_filtered_before_the_shuffle_of_an_index(spark, data):
+    docs = spark.createDataFrame([(1, "red red apple"), (2, "Apple"), (2, "tree apple"), (3, None)], "doc_id long, body string")
+    index = search.build(docs, {"body": "text"})
+    rows = {(r["term"], r["doc_id"]): (r["tf"], r["positions"]) for r in index.postings.collect()}
+    assert rows == {(p + w, i): v for (w, i), v in {("red", 1): (2, [0, 1]), ("apple", 1): (1, [2]), ("apple", 2): (2, [0, 1]), ("tree", 2): (1, [0])}.items() for p in ("", "body:")}
+    for name in ("ft_field_term", "ft_numeric", "ft_del"):
+        lines = plan(QUERIES[name](spark, data)).split("\n")
+        at = [i for i, x in enumerate(lines) if "Filter" in x and "license" in x]
+        own = [x for x in lines[at[-1] + 1 :] if "Aggregate" in x or "Filter" in x and "license" in x]
+        under = lines[at[0]]
+        assert at and not any("Aggregate" in x and len(x) - len(x.lstrip(" :+-")) > len(under) - len(under.lstrip(" :+-")) for x in own)
