@@ -48,3 +48,25 @@ def test_terms_are_filtered_before_the_shuffle_of_an_index(spark, data):
         own = [x for x in lines[at[-1] + 1 :] if "Aggregate" in x or "Filter" in x and "license" in x]
         under = lines[at[0]]
         assert at and not any("Aggregate" in x and len(x) - len(x.lstrip(" :+-")) > len(under) - len(under.lstrip(" :+-")) for x in own)
+
+
+def test_terms_are_counted_without_postings(spark, data, monkeypatch):
+    docs = spark.createDataFrame([(1, "red red apple the"), (2, "Apple tree"), (2, "tree tree apple"), (None, "red"), (None, "red licences"), (3, None), (4, "a 9")], "id long, body string")
+    for rows in (docs, docs.where("id <> 2")):
+        for stem in (False, True):
+            want = {tuple(r) for r in search.term_stats(search.postings(rows, "body", stem=stem, id_col="id")).collect()}
+            assert {tuple(r) for r in search.term_counts(rows, "body", stem=stem, id_col="id").collect()} == want
+            assert {tuple(r) for r in search.term_counts(rows, "body", stem=stem, id_col="id", total=False).collect()} == {(w, df) for w, df, _ in want}
+    own, made = search.term_counts(docs, "body", id_col="id"), search.postings(docs, "body", id_col="id")
+    assert search.info(docs, own).collect() == search.info(docs, made).collect()
+    assert sorted(search.spell_check(own, ["appl", "tre"]).collect()) == sorted(search.spell_check(made, ["appl", "tre"]).collect())
+    assert search.info(docs.limit(0), search.term_counts(docs.limit(0), "body", id_col="id")).first().asDict() == {"docs": 0, "terms": 0, "records": 0}
+
+    def refuse(*_):
+        raise AssertionError("nothing is to be written")
+
+    monkeypatch.setattr(tables, "shared", refuse)
+    for name in ("ft_terms", "ft_info", "ft_spellcheck"):
+        lines = [x for x in plan(QUERIES[name](spark, data)).split("\n") if "Aggregate [" in x]
+        assert lines and not any("doc_id" in x for x in lines)
+    assert any("Filter" in x and "license" in x for x in plan(QUERIES["ft_search_and"](spark, data)).split("Aggregate")[-1].split("\n"))
