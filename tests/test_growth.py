@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import random
+import tracemalloc
+
+import numpy as np
+import pandas as pd
+import pytest
 
 from keyloom.operators import channels, search
 from keyloom.plans.queries import QUERIES
 from keyloom.sources import tables
+from keyloom.streaming import live
 
 
 def plan(df) -> str:
@@ -70,3 +76,79 @@ def test_terms_are_counted_without_postings(spark, data, monkeypatch):
         lines = [x for x in plan(QUERIES[name](spark, data)).split("\n") if "Aggregate [" in x]
         assert lines and not any("doc_id" in x for x in lines)
     assert any("Filter" in x and "license" in x for x in plan(QUERIES["ft_search_and"](spark, data)).split("Aggregate")[-1].split("\n"))
+
+
+def brute(rows, take):
+    """What each pop gets, one event after another."""
+    items, waiting, out = [], [], []
+    order = {"first": lambda x: x[2], "last": lambda x: -x[2], "min": lambda x: x[:2]}.get(take)
+    for at, (_, kind, value, score) in enumerate(sorted(rows)):
+        if kind == "push":
+            items.append((score, value, at))
+        else:
+            waiting.append(value)
+        if items and waiting:
+            best = min(items, key=order) if order else max(items, key=lambda x: x[:2])
+            items.remove(best)
+            out.append((waiting.pop(0), best[1]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("take", ["first", "last", "min", "max"])
+def test_waiting_pops_against_a_slow_version_over_batches(spark, tmp_path, take):
+    rnd = random.Random(take)
+    rows = [(k, i, rnd.choices(["push", "pop"], [3, 2 + (i // 60) % 3])[0], f"{k}{i % 50:02}é", float(rnd.randrange(4))) for k in "ab" for i in range(300)]
+    names = [f"{k}{i}" for k, i, *_ in rows]
+    rows = [(k, i, kind, n if kind == "pop" else v, x) for (k, i, kind, v, x), n in zip(rows, names, strict=True)]
+    for part in range(3):
+        some = [r for r in rows if part * 100 <= r[1] < part * 100 + 100]
+        rnd.shuffle(some)
+        spark.createDataFrame(some, "key string, n long, kind string, value string, score double").coalesce(1).write.parquet(str(tmp_path / f"q.parquet{part}"))
+    (tmp_path / "q.parquet0").rename(tmp_path / "q.parquet")
+    got = live.run_available(live.queue(live.read(spark, str(tmp_path / "q.parquet")), take)).collect()
+    for k in "ab":
+        assert sorted((r["who"], r["value"]) for r in got if r["key"] == k) == brute([r[1:] for r in rows if r[0] == k], take)
+
+
+class State:
+    exists, get = False, None
+
+    def update(self, x):
+        self.exists, self.get = True, x
+
+
+def step_of(monkeypatch, df, make):
+    """The function of a live query's keys, to be run here."""
+    found = []
+    monkeypatch.setattr(type(df.groupBy("key")), "applyInPandasWithState", lambda self, f, *a: found.append(f) or df)
+    make(df)
+    monkeypatch.undo()
+    return found[0]
+
+
+@pytest.mark.parametrize("take", ["first", "last", "min", "max"])
+def test_a_queue_holds_no_object_for_each_event(spark, monkeypatch, take):
+    n, size = 60_000, 5_000
+    df = spark.createDataFrame([], "key string, n long, kind string, value string, score double")
+    step, state = step_of(monkeypatch, df, lambda x: live.queue(x, take)), State()
+    batches = (pd.DataFrame({"n": range(at, at + size), "kind": ["push" if at < n * 2 // 3 else "pop"] * size, "value": [f"v{i}" for i in range(at, at + size)], "score": np.arange(size) % 7.0}) for at in range(0, n, size))
+    tracemalloc.start()
+    served = sum(len(p) for p in step(("k",), batches, state))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert served == n // 3 and peak < 100 * n
+
+
+def test_consumer_groups_hold_no_object_for_each_entry(spark, monkeypatch):
+    n, size = 60_000, 5_000
+    df = spark.createDataFrame([], "key string, ms long, seq long")
+    step, state = step_of(monkeypatch, df, lambda x: live.consumer_groups(x, 3)), State()
+    tracemalloc.start()
+    (out,) = step(("k",), (pd.DataFrame({"ms": np.arange(at, at + size) // 2, "seq": np.arange(at, at + size) % 2}) for at in range(0, n, size)), state)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 * n and out["given"].tolist() == [n // 3] * 3 and state.get == (n // 2 - 1, 1, n)
+    # Nothing at or before the cursor, an id once, turns go on.
+    (out,) = step(("k",), iter([pd.DataFrame({"ms": [n, 5, n, n + 1], "seq": [1, 0, 1, 0]})]), state)
+    assert dict(zip(out["consumer"], out["given"], strict=True)) == {0: 1, 1: 1} and state.get == (n + 1, 0, n + 2)
+    assert list(step(("k",), iter([pd.DataFrame({"ms": [5], "seq": [0]})]), state)) == []
