@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from keyloom.operators import channels, search
+from keyloom.operators import channels, lists, search
 from keyloom.plans.queries import QUERIES
 from keyloom.sources import tables
 from keyloom.streaming import live
@@ -152,3 +152,19 @@ def test_consumer_groups_hold_no_object_for_each_entry(spark, monkeypatch):
     (out,) = step(("k",), iter([pd.DataFrame({"ms": [n, 5, n, n + 1], "seq": [1, 0, 1, 0]})]), state)
     assert dict(zip(out["consumer"], out["given"], strict=True)) == {0: 1, 1: 1} and state.get == (n + 1, 0, n + 2)
     assert list(step(("k",), iter([pd.DataFrame({"ms": [5], "seq": [0]})]), state)) == []
+
+
+def test_an_insert_sorts_a_list_once(spark):
+    rnd = random.Random(4)
+    have = {k: [rnd.choice(["a", "b", "c", None]) for _ in range(rnd.randrange(12))] for k in range(40)}
+    t = spark.createDataFrame([(k, 3 * i - 7, v) for k, vs in have.items() for i, v in enumerate(vs)], "key long, pos long, value string")
+    for after in (False, True):
+        got = lists.linsert(t, "b", "X", after)
+        want = set()
+        for k, vs in have.items():
+            at = vs.index("b") + after if "b" in vs else None
+            want |= {(k, i, v) for i, v in enumerate(vs if at is None else [*vs[:at], "X", *vs[at:]])}
+        rows = [tuple(r) for r in got.collect()]
+        assert set(rows) == want and len(rows) == len(want)
+        assert "Join" not in plan(got) and "Union" not in plan(got)
+    assert sorted(r["value"] for r in lists.linsert(t.where("key = 1"), None, "X").collect() if r["value"]) == sorted(v for v in have[1] if v)
