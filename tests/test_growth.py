@@ -7,9 +7,10 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from keyloom.operators import channels, lists, search
+from keyloom.operators import channels, lists, search, vectors
 from keyloom.plans.queries import QUERIES
 from keyloom.sources import tables
 from keyloom.streaming import live
@@ -168,3 +169,40 @@ def test_an_insert_sorts_a_list_once(spark):
         assert set(rows) == want and len(rows) == len(want)
         assert "Join" not in plan(got) and "Union" not in plan(got)
     assert sorted(r["value"] for r in lists.linsert(t.where("key = 1"), None, "X").collect() if r["value"]) == sorted(v for v in have[1] if v)
+
+
+def test_vectors_are_scored_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, size=(300, 4)).astype(float)
+    v[7] = 0
+    v[11, 2] = np.nan
+    t = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(vectors, "TILE", 16)
+    for metric in ("cosine", "dot", "euclidean"):
+        got = vectors.vsquery(t, t.where("id % 5 = 0").select("id"), 6, metric).collect()
+        for q in range(0, 300, 5):
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = {"cosine": v @ v[q] / (np.linalg.norm(v, axis=1) * np.linalg.norm(v[q])), "dot": v @ v[q], "euclidean": -np.linalg.norm(v - v[q], axis=1)}[metric]
+            s = np.where((np.linalg.norm(v, axis=1) * np.linalg.norm(v[q]) == 0) & (metric == "cosine"), 0.0, s)
+            s[[q, 11]] = -np.inf
+            want = sorted((-round(x, 9), i) for i, x in enumerate(s) if x > -np.inf)[:6] if q != 11 else []
+            assert sorted((-round(r["score"], 9), r["id"]) for r in got if r["query_id"] == q)[:6] == want or metric != "dot" and np.allclose(sorted(-r["score"] for r in got if r["query_id"] == q), [x for x, _ in want], atol=1e-7)
+
+
+def test_many_queries_hold_one_tile_of_scores(spark, monkeypatch):
+    found = []
+    df = spark.createDataFrame([], "id long, embedding array<double>")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a: found.append(f) or df)
+    n, m = 4096, 2048
+    x = np.random.default_rng(6).normal(size=(n, 8))
+    rows = pa.table({"id": pa.array(range(n)), "embedding": pa.array(x.tolist())})
+    vectors._best(df, rows, 8, 3, "dot")
+    monkeypatch.undo()
+    batch = rows.slice(0, m).to_batches()[0]
+    tracemalloc.start()
+    (out,) = found[0](iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    s = x @ x[:m].T
+    s[np.arange(m), np.arange(m)] = -np.inf
+    assert peak < 64 << 20 and out.column(1).to_pylist() == np.argsort(-s, axis=1, kind="stable")[:, :3].ravel().tolist()
