@@ -9,8 +9,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from keyloom.operators import channels, lists, search, vectors
+from keyloom.operators import channels, lists, placement, search, vectors
 from keyloom.plans.queries import QUERIES
 from keyloom.sources import tables
 from keyloom.streaming import live
@@ -206,3 +207,18 @@ def test_many_queries_hold_one_tile_of_scores(spark, monkeypatch):
     s = x @ x[:m].T
     s[np.arange(m), np.arange(m)] = -np.inf
     assert peak < 64 << 20 and out.column(1).to_pylist() == np.argsort(-s, axis=1, kind="stable")[:, :3].ravel().tolist()
+
+
+def test_moved_slots_are_no_part_of_the_plan(spark):
+    n = 5000
+    t = spark.range(n).select(F.col("id").alias("slot"), F.when(F.col("id") % 4 == 3, None).otherwise(F.concat(F.lit("n"), F.col("id") % 3)).alias("node"))
+    out = placement.rebalance(t, ["n0", "new", "n1", "last"])
+    assert len(plan(out)) < 20_000
+    rows = out.collect()
+    held = {x: sorted(i for i in range(n) if i % 4 != 3 and f"n{i % 3}" == x) for x in ("n0", "n1")}
+    kept = {i: x for x, ids in held.items() for i in ids[: n // 4]}
+    free = sorted(set(range(n)) - set(kept))
+    # Free slots go in order to the nodes with room, in the order of the nodes.
+    want = kept | dict(zip(free, ["new"] * (n // 4) + ["last"] * (n // 4), strict=True))
+    assert {r["slot"]: r["node"] for r in rows} == want and len(rows) == n
+    assert all(r["old"] == (None if r["slot"] % 4 == 3 else f"n{r['slot'] % 3}") for r in rows)
