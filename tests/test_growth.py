@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import sys
 import tracemalloc
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import channels, lists, placement, search, vectors
+from keyloom.operators import channels, lists, placement, search, strings, vectors
 from keyloom.plans.queries import QUERIES
 from keyloom.sources import tables
 from keyloom.streaming import live
@@ -222,3 +223,37 @@ def test_moved_slots_are_no_part_of_the_plan(spark):
     want = kept | dict(zip(free, ["new"] * (n // 4) + ["last"] * (n // 4), strict=True))
     assert {r["slot"]: r["node"] for r in rows} == want and len(rows) == n
     assert all(r["old"] == (None if r["slot"] % 4 == 3 else f"n{r['slot'] % 3}") for r in rows)
+
+
+def test_tables_of_many_pairs_are_made_together(spark, monkeypatch):
+    def slow(x, y):
+        t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, c in enumerate(x):
+            for j, d in enumerate(y):
+                t[i + 1][j + 1] = t[i][j] + 1 if c == d else max(t[i][j + 1], t[i + 1][j])
+        i, j, out = len(x), len(y), ""
+        while i and j:
+            if x[i - 1] == y[j - 1]:
+                i, j, out = i - 1, j - 1, x[i - 1] + out
+            elif t[i - 1][j] > t[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        return out
+
+    found, rnd = [], random.Random(7)
+    df = spark.createDataFrame([], "a string, b string")
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, f, *a: found.append(f) or df)
+    strings.lcs(df)
+    monkeypatch.undo()
+    pairs = pd.DataFrame([("".join(rnd.choices("abc ", k=rnd.randrange(30))), "".join(rnd.choices("abc ", k=rnd.randrange(30)))) for _ in range(1000)] + [(None, "a"), ("", ""), ("ab", None)], columns=["a", "b"])
+    calls = [0]
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + ("call" in event)))
+    try:
+        (out,) = found[0](iter([pairs]))
+    finally:
+        sys.setprofile(None)
+    want = [slow(x or "", y or "") for x, y in zip(pairs["a"], pairs["b"], strict=True)]
+    assert out["lcs"].tolist() == want and out["length"].tolist() == [len(w) for w in want] and calls[0] < 25 * len(pairs)
+    monkeypatch.setattr(strings, "TABLE", 500)
+    assert next(iter(found[0](iter([pairs]))))["lcs"].tolist() == want
